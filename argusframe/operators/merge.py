@@ -12,7 +12,7 @@ from argusframe.operators.skew import salted_join
 from argusframe.schema import as_findings
 
 # Result order of findings inside a target; files by path.
-EMISSION_ORDER = ("scanner_ord", "file", "rule_ord", "seq", "line", "rule_id", "title")
+EMISSION_ORDER = ("scanner_ord", "file", "rule_ord", "seq", "line", "rule_id", "title", "description", "severity")
 
 # Dependency sources, best first.
 SOURCE_RANK = {"trivy": 1, "npm-audit": 2, "deps": 3}

@@ -67,7 +67,7 @@ def _of_rule(ord_: Column, rules: Sequence[Rule], field: str) -> Column:
     return F.element_at(F.create_map(*pairs), ord_)
 
 
-def _report(hits: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def report_rules(hits: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     ord_ = F.col("rule_ord")
     where = message(" Found in `{path}` on line {line}.", path=F.col("path"), line=F.col("line"))
     return as_findings(hits.select(
@@ -88,21 +88,24 @@ def _report(hits: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     ))
 
 
-def rule_hits(files: DataFrame, rules: Sequence[Rule], use_needles: bool = True) -> DataFrame:
-    """``(target_id, path, rule_ord, line)`` of every rule hit, one row per
-    file and rule; ``line`` is null for file rules. Expects pruned files."""
-    runnable = [r for r in rules if r.scope in (LINE, FILE)]
-    if not runnable:
-        return files.select("target_id", "path", F.lit(0).alias("rule_ord"), F.lit(None).cast("int").alias("line")).limit(0)
-    extensions = sorted({e for r in runnable for e in r.extensions})
-    texts = files.select("target_id", "path", "content", path_extension(F.col("path")).alias("ext"))
-    texts = texts.filter(F.col("ext").isin(*extensions)).select(
-        "target_id", "path", "ext", "content",
-        blank_suppressed(F.col("content")).alias("clean"),
-        F.lower("content").alias("lowered"),
-    )
+def with_scan_texts(files: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """Adds what ``rule_cases`` reads: ``ext``, ``clean`` and ``lowered``; the
+    texts only where ``wanted``."""
+    def text(value: Column) -> Column:
+        return value if wanted is None else F.when(wanted, value)
+
+    return files.select(
+        "*", path_extension(F.col("path")).alias("ext"),
+        text(blank_suppressed(F.col("content"))).alias("clean"), text(F.lower("content")).alias("lowered"))
+
+
+def rule_cases(rules: Sequence[Rule], use_needles: bool = True) -> list[Column]:
+    """One ``struct(rule_ord, line)`` or null per line and file rule, decided
+    on a row of ``with_scan_texts``; ``line`` is null for file rules."""
     cases = []
-    for rule in runnable:
+    for rule in rules:
+        if rule.scope not in (LINE, FILE):
+            continue
         test = _extension_test(F.col("ext"), rule)
         if use_needles:
             test = test & _needle_test(F.col("lowered"), rule)
@@ -116,8 +119,23 @@ def rule_hits(files: DataFrame, rules: Sequence[Rule], use_needles: bool = True)
                 test = test & ~F.col("content").rlike(rule.java_anti)
             line = F.lit(None).cast("int")
         cases.append(F.when(test, F.struct(F.lit(rule.ord).alias("rule_ord"), line.alias("line"))))
+    return cases
+
+
+def scanned_extensions(rules: Sequence[Rule]) -> list[str]:
+    return sorted({e for r in rules if r.scope in (LINE, FILE) for e in r.extensions})
+
+
+def rule_hits(files: DataFrame, rules: Sequence[Rule], use_needles: bool = True) -> DataFrame:
+    """``(target_id, path, rule_ord, line)`` of every rule hit, one row per
+    file and rule. Expects pruned files."""
+    cases = rule_cases(rules, use_needles)
+    if not cases:
+        return files.sparkSession.createDataFrame([], "target_id string, path string, rule_ord int, line int")
+    texts = files.select("target_id", "path", "content").filter(
+        path_extension(F.col("path")).isin(*scanned_extensions(rules)))
     return (
-        texts.select("target_id", "path", F.explode(F.array(*cases)).alias("hit"))
+        with_scan_texts(texts).select("target_id", "path", F.explode(F.array(*cases)).alias("hit"))
         .filter(F.col("hit").isNotNull())
         .select("target_id", "path", "hit.rule_ord", "hit.line")
     )
@@ -125,7 +143,7 @@ def rule_hits(files: DataFrame, rules: Sequence[Rule], use_needles: bool = True)
 
 def scan_sources(files: DataFrame, rules: Sequence[Rule] = RULES, use_needles: bool = True) -> DataFrame:
     """All line and file findings of the built-in scanner."""
-    return _report(rule_hits(size_cap(prune_paths(files)), rules, use_needles), rules)
+    return report_rules(rule_hits(size_cap(prune_paths(files)), rules, use_needles), rules)
 
 
 def match_line_rules(lines: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:

@@ -47,36 +47,43 @@ def _may_hold(content: Column, rule: SecretRule) -> Column:
     return test & content.rlike(rule.pattern)
 
 
+def secret_items(rules=SECRET_RULES) -> Column:
+    """Array of ``struct(rule_ord, line, seq, secret)`` over all lines of
+    ``content``; null where no rule matches the text as a whole, so that only
+    suspect texts are split into lines."""
+    suspect = None
+    for rule in rules:
+        test = _may_hold(F.col("content"), rule)
+        suspect = test if suspect is None else suspect | test
+
+    def of_rule(rule: SecretRule, text: Column, pos: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
+        return F.transform(found, lambda s, i: F.struct(
+            F.lit(rule.ord).alias("rule_ord"), (pos + 1).alias("line"), i.alias("seq"), s.alias("secret")))
+
+    def on_line(text: Column, pos: Column) -> Column:
+        return F.flatten(F.array(*[of_rule(r, text, pos) for r in rules]))
+
+    return F.when(suspect, F.flatten(F.transform(F.split("content", "\n"), on_line)))
+
+
 def secret_matches(files: DataFrame, rules=SECRET_RULES) -> DataFrame:
-    """``(target_id, path, line, rule_ord, seq, secret)``, unmasked: for the
-    detector below only. Texts without any match are dropped before they are
-    split into lines."""
-    content = F.col("content")
+    """``(target_id, path, rule_ord, line, seq, secret)``, unmasked: for the
+    report below only."""
     texts = size_cap(files).filter(is_secret_path(F.col("path")))
-    suspects = None
-    for rule in rules:
-        test = _may_hold(content, rule)
-        suspects = test if suspects is None else suspects | test
-    lines = texts.filter(suspects).select(
-        "target_id", "path", F.posexplode(F.split("content", "\n")).alias("pos", "text"))
-    found = F.array(*[
-        F.struct(F.lit(r.ord).alias("rule_ord"),
-                 F.regexp_extract_all(F.col("text"), F.lit(r.pattern), F.lit(r.group)).alias("secrets"))
-        for r in rules
-    ])
-    return (
-        lines.select("target_id", "path", (F.col("pos") + 1).alias("line"), F.explode(found).alias("m"))
-        .filter(F.size("m.secrets") > 0)
-        .select("target_id", "path", "line", "m.rule_ord", F.posexplode("m.secrets").alias("seq", "secret"))
-    )
+    return texts.select("target_id", "path", F.explode(secret_items(rules)).alias("m")).select("target_id", "path", "m.*")
 
 
 def scan_secrets(files: DataFrame, rules=SECRET_RULES) -> DataFrame:
+    return report_secrets(secret_matches(files, rules), rules)
+
+
+def report_secrets(matches: DataFrame, rules=SECRET_RULES) -> DataFrame:
     def pick(field: str) -> Column:
         pairs = [x for r in rules for x in (F.lit(r.ord), F.lit(getattr(r, field)))]
         return F.element_at(F.create_map(*pairs), F.col("rule_ord"))
 
-    return as_findings(secret_matches(files, rules).select(
+    return as_findings(matches.select(
         "target_id",
         F.lit("secrets").alias("scanner"),
         pick("severity").alias("severity"),

@@ -29,14 +29,16 @@ def number_rows(df: DataFrame, group: str, order: Sequence[Column | str], number
 
     Rows are range-partitioned by group and order, so a hot group covers many
     partitions in sequence. A row's number is its place within its slice of the
-    group plus the sizes of the slices before. The sorted slices are cut off
-    from their lineage first: sizes and places must see the same boundaries
-    even if an executor is lost. ``per_group`` adds columns kept per group.
+    group plus the sizes of the slices before. Rows are cut off from their
+    lineage before and after they move: the sampling pass does not compute them
+    again, and sizes and places see the same boundaries even if an executor is
+    lost. ``per_group`` adds columns kept per group.
     """
     spark = df.sparkSession
     ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    keyed = df.select("*", F.struct(*order).alias("_order"), F.monotonically_increasing_id().alias("_tie"))
+    # Ties are broken by an id that is written down before rows move by it.
+    keyed = cut_lineage(df.select("*", F.struct(*order).alias("_order"), F.monotonically_increasing_id().alias("_tie")))
     placed = (
         keyed.repartitionByRange(ranges, group, "_order", "_tie")
         .sortWithinPartitions(group, "_order", "_tie")

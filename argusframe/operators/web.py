@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from argusframe.functions.text import first_present, message, trim_space, trim_start, utf16_length
 from argusframe.operators.skew import salted_join
 from argusframe.schema import SCANNER_ORD, as_findings
+from argusframe.session import cut_lineage
 
 def header(name: str, headers: str = "headers") -> Column:
     """Value of a header, repeated ones joined; null when absent. Names are
@@ -176,13 +177,16 @@ def check_headers(responses: DataFrame) -> DataFrame:
     return _collect(_of_kind(responses, "main"), _header_hits())
 
 
+def cookie_name(cookie: Column) -> Column:
+    return first_present(trim_space(F.get(F.split(cookie, "="), F.lit(0))), "unknown")
+
+
 def explode_cookies(responses: DataFrame) -> DataFrame:
     """``(target_id, seq, cookie, name)`` of each cookie set by the main page."""
-    cookie = F.col("cookie")
     return (
         _of_kind(responses, "main")
         .select("target_id", F.posexplode(F.element_at("headers", "set-cookie")).alias("seq", "cookie"))
-        .withColumn("name", first_present(trim_space(F.get(F.split(cookie, "="), F.lit(0))), "unknown"))
+        .withColumn("name", cookie_name(F.col("cookie")))
     )
 
 
@@ -190,12 +194,10 @@ def is_session_cookie(name: Column) -> Column:
     return F.lower(name).rlike("|".join(SESSION_WORDS))
 
 
-def check_cookies(responses: DataFrame) -> DataFrame:
-    cookies = explode_cookies(responses)
-    low = F.lower("cookie")
+def _cookie_hits(cookie: Column, pos: Column) -> list[Column]:
+    low, name, place = F.lower(cookie), cookie_name(cookie), pos * 3
     lacks = lambda word: ~F.contains(low, F.lit(word))
-    name, place = F.col("name"), F.col("seq") * 3
-    return _collect(cookies, [
+    return [
         _hit(lacks("secure"), "cookie-no-secure", "medium", message('Cookie "{name}" without Secure', name=name),
              "The cookie may travel over plain HTTP.", "Set the Secure attribute.", seq=place),
         _hit(lacks("httponly") & is_session_cookie(name), "cookie-no-httponly", "medium",
@@ -203,7 +205,11 @@ def check_cookies(responses: DataFrame) -> DataFrame:
              "Scripts can read the session cookie.", "Set the HttpOnly attribute.", seq=place + 1),
         _hit(lacks("samesite"), "cookie-no-samesite", "low", message('Cookie "{name}" without SameSite', name=name),
              "The cookie may be sent with requests of other sites.", "Set the SameSite attribute.", seq=place + 2),
-    ])
+    ]
+
+
+def check_cookies(responses: DataFrame) -> DataFrame:
+    return _collect(explode_cookies(responses), _cookie_hits(F.col("cookie"), F.col("seq")))
 
 
 def _cors_hits() -> list[Column]:
@@ -241,13 +247,16 @@ def check_mixed_content(responses: DataFrame) -> DataFrame:
     return _collect(_of_kind(responses, "main"), _mixed_hits())
 
 
-def check_https_redirect(responses: DataFrame) -> DataFrame:
-    """HTTPS targets whose plain-HTTP answer does not lead to HTTPS."""
+def _redirect_hits() -> list[Column]:
     location = F.coalesce(header("location"), F.lit(""))
     test = F.startswith("url", F.lit("https://")) & ~F.startswith(location, F.lit("https://"))
-    return _collect(_of_kind(responses, "http_head"), [
-        _hit(test, "no-https-redirect", "high", "Plain HTTP is not redirected",
-             "Visitors who leave out the scheme stay on plain HTTP.", "Redirect all plain HTTP requests to HTTPS.")])
+    return [_hit(test, "no-https-redirect", "high", "Plain HTTP is not redirected",
+                 "Visitors who leave out the scheme stay on plain HTTP.", "Redirect all plain HTTP requests to HTTPS.")]
+
+
+def check_https_redirect(responses: DataFrame) -> DataFrame:
+    """HTTPS targets whose plain-HTTP answer does not lead to HTTPS."""
+    return _collect(_of_kind(responses, "http_head"), _redirect_hits())
 
 
 def soft404_baseline(responses: DataFrame) -> DataFrame:
@@ -258,30 +267,40 @@ def soft404_baseline(responses: DataFrame) -> DataFrame:
     )
 
 
+def _body() -> Column:
+    return F.coalesce("body", F.lit(""))
+
+
+def _probe_hit(probe: Probe, test: Column) -> Column:
+    return _hit((F.col("path") == probe.path) & test, probe.id, probe.severity, probe.title,
+                message("{path} can be read by anyone.", path=F.col("path")),
+                message("Take {path} off the server or restrict it.", path=F.col("path")),
+                probe.category, probe.path)
+
+
+def _is_file_body() -> Column:
+    """Body that is neither tiny nor a page."""
+    start = trim_start(_body())
+    page = F.startswith(start, F.lit("<!")) | F.startswith(start, F.lit("<html"))
+    return (utf16_length(_body()) >= MIN_PROBE_BODY) & ~page
+
+
+def _unlike_baseline(length: Column) -> Column:
+    base = F.coalesce("baseline", F.lit(0))
+    return ~((base > 0) & (F.abs(length - base) < BASELINE_BAND))
+
+
 def check_probes(responses: DataFrame, probes: tuple[Probe, ...] = PROBES) -> DataFrame:
-    body = F.coalesce("body", F.lit(""))
     rows = _of_kind(responses, "probe").filter((F.col("status") == 200) & F.col("path").isin(*[p.path for p in probes]))
     marked, generic = [p for p in probes if p.body], [p for p in probes if not p.body]
-
-    def hit(probe: Probe, test: Column) -> Column:
-        return _hit((F.col("path") == probe.path) & test, probe.id, probe.severity, probe.title,
-                    message("{path} can be read by anyone.", path=F.col("path")),
-                    message("Take {path} off the server or restrict it.", path=F.col("path")),
-                    probe.category, probe.path)
-
-    by_body = _collect(rows, [hit(p, p.body(body)) for p in marked]) if marked else None
+    by_body = _collect(rows, [_probe_hit(p, p.body(_body())) for p in marked]) if marked else None
     if not generic:
         return by_body
     # Reduce the rows to lengths before the baseline is joined.
-    start = trim_start(body)
-    files = rows.filter(F.col("path").isin(*[p.path for p in generic])).select(
-        "target_id", "path", utf16_length(body).alias("length"),
-        (F.startswith(start, F.lit("<!")) | F.startswith(start, F.lit("<html"))).alias("page"),
-    ).filter((F.col("length") >= MIN_PROBE_BODY) & ~F.col("page"))
-    files = salted_join(files, soft404_baseline(responses), ["target_id"], "left")
-    base = F.coalesce("baseline", F.lit(0))
-    files = files.filter(~((base > 0) & (F.abs(F.col("length") - base) < BASELINE_BAND)))
-    by_file = _collect(files, [hit(p, F.lit(True)) for p in generic])
+    files = rows.filter(F.col("path").isin(*[p.path for p in generic]) & _is_file_body()).select(
+        "target_id", "path", utf16_length(_body()).alias("length"))
+    files = salted_join(files, soft404_baseline(responses), ["target_id"], "left").filter(_unlike_baseline(F.col("length")))
+    by_file = _collect(files, [_probe_hit(p, F.lit(True)) for p in generic])
     return by_file if by_body is None else by_body.unionByName(by_file)
 
 
@@ -293,28 +312,33 @@ def sensitive_robots_paths(body: Column) -> Column:
     return F.filter(paths, lambda p: (p != "") & F.lower(p).rlike(words))
 
 
+def _robots_hits() -> list[Column]:
+    readable = (F.col("status") == 200) & (_body() != "") & ~F.contains(_body(), F.lit("<!DOCTYPE"))
+    paths = sensitive_robots_paths(F.col("body"))
+    return [_hit(
+        readable & (F.size(paths) > 0), "robots-sensitive-paths", "low", "robots.txt names sensitive paths",
+        message("The file points at: {first}", first=F.array_join(F.slice(paths, 1, 5), ", ")),
+        "Protect these paths by login.")]
+
+
 def check_robots(responses: DataFrame) -> DataFrame:
-    rows = _of_kind(responses, "robots").filter(
-        (F.col("status") == 200) & (F.coalesce("body", F.lit("")) != "") & ~F.contains("body", F.lit("<!DOCTYPE")))
-    rows = rows.select("target_id", sensitive_robots_paths(F.col("body")).alias("paths"))
-    return _collect(rows, [_hit(
-        F.size("paths") > 0, "robots-sensitive-paths", "low", "robots.txt names sensitive paths",
-        message("The file points at: {first}", first=F.array_join(F.slice("paths", 1, 5), ", ")),
-        "Protect these paths by login.")])
+    return _collect(_of_kind(responses, "robots"), _robots_hits())
+
+
+def _security_txt_finding(flags: DataFrame) -> DataFrame:
+    return _collect(flags.filter("reached"), [_hit(
+        ~F.col("served"), "missing-security-txt", "low", "No security.txt",
+        "Finders of flaws do not learn whom to tell.", "Serve /.well-known/security.txt.")])
 
 
 def check_security_txt(responses: DataFrame) -> DataFrame:
     """Reachable targets without a served security.txt, as one aggregation."""
     ok = F.col("status").isNotNull()
-    flags = (
+    return _security_txt_finding(
         responses.filter(F.col("kind").isin("main", "security_txt"))
         .groupBy("target_id")
         .agg(F.max((F.col("kind") == "main") & ok).alias("reached"),
-             F.max((F.col("kind") == "security_txt") & F.coalesce(F.col("status") == 200, F.lit(False))).alias("served"))
-    )
-    return _collect(flags.filter("reached"), [_hit(
-        ~F.col("served"), "missing-security-txt", "low", "No security.txt",
-        "Finders of flaws do not learn whom to tell.", "Serve /.well-known/security.txt.")])
+             F.max((F.col("kind") == "security_txt") & F.coalesce(F.col("status") == 200, F.lit(False))).alias("served")))
 
 
 def reachable_targets(responses: DataFrame) -> DataFrame:
@@ -331,17 +355,59 @@ def web_errors(responses: DataFrame) -> DataFrame:
     )
 
 
-def scan_web(responses: DataFrame) -> DataFrame:
-    """All web findings. Targets that were not reached have none."""
-    pages = _collect(_of_kind(responses, "main"), _header_hits() + _cors_hits() + _mixed_hits())
-    others = (
-        check_https_redirect(responses)
-        .unionByName(check_probes(responses))
-        .unionByName(check_robots(responses))
+def web_evidence(responses: DataFrame) -> DataFrame:
+    """``(target_id, note, length, hit)``: everything the web scan needs from
+    the exchanges, taken in one pass over headers and bodies. ``note`` is
+    ``hit`` (a finding), ``candidate`` (a finding unless its body is as long as
+    the baseline), ``baseline``, ``reached`` or ``served``."""
+    kind, ok = F.col("kind"), F.col("status").isNotNull()
+    served = F.coalesce(F.col("status") == 200, F.lit(False))
+    at = lambda k, hits: [F.when((kind == k) & ok, h) for h in hits]
+    marked, generic = [p for p in PROBES if p.body], [p for p in PROBES if not p.body]
+    hits = (
+        at("main", _header_hits() + _cors_hits() + _mixed_hits()) + at("http_head", _redirect_hits())
+        + at("probe", [_probe_hit(p, served & p.body(_body())) for p in marked]) + at("robots", _robots_hits())
     )
-    others = salted_join(others, reachable_targets(responses), ["target_id"], "left_semi")
+    candidate = F.coalesce(*at("probe", [_probe_hit(p, served & _is_file_body()) for p in generic]))
+    cookies = F.when((kind == "main") & ok, F.element_at("headers", "set-cookie"))
+    cookie_hits = F.flatten(F.transform(cookies, lambda c, i: F.array(*_cookie_hits(c, i))))
+    length = utf16_length(_body()).cast("int")
+
+    def item(note: str, test: Column, value: Column | None = None, hit: Column | None = None) -> Column:
+        nothing = F.when(F.lit(False), candidate)
+        return F.when(test, F.struct(
+            F.lit(note).alias("note"), (value if value is not None else F.lit(None)).cast("int").alias("length"),
+            (hit if hit is not None else nothing).alias("hit")))
+
+    found = F.concat(F.array(*hits), F.coalesce(cookie_hits, F.array().cast(_HITS)))
+    items = F.concat(
+        F.transform(found, lambda h: item("hit", h.isNotNull(), hit=h)),
+        F.array(
+            item("candidate", candidate.isNotNull(), length, candidate),
+            item("baseline", (kind == "missing_page") & ok, length),
+            item("reached", (kind == "main") & ok),
+            item("served", (kind == "security_txt") & served)))
     return (
-        pages.unionByName(check_cookies(responses))
-        .unionByName(others)
-        .unionByName(check_security_txt(responses))
+        responses.select("target_id", F.explode(items).alias("item")).filter(F.col("item").isNotNull())
+        .select("target_id", "item.*")
     )
+
+
+_HITS = ("array<struct<severity:string,category:string,title:string,description:string,file:string,"
+         "recommendation:string,rule_id:string,rule_ord:int,seq:int>>")
+
+
+def scan_web(responses: DataFrame) -> DataFrame:
+    """All web findings, from one pass over the exchanges. Targets that were
+    not reached have none."""
+    evidence = cut_lineage(web_evidence(responses))
+    of = lambda note: evidence.filter(F.col("note") == note)
+    baseline = of("baseline").groupBy("target_id").agg(F.max("length").alias("baseline"))
+    candidates = salted_join(of("candidate"), baseline, ["target_id"], "left").filter(_unlike_baseline(F.col("length")))
+    hits = of("hit").select("target_id", "hit").unionByName(candidates.select("target_id", "hit"))
+    hits = salted_join(hits, of("reached").select("target_id").distinct(), ["target_id"], "left_semi")
+    flags = of("reached").unionByName(of("served")).groupBy("target_id").agg(
+        F.max(F.col("note") == "reached").alias("reached"), F.max(F.col("note") == "served").alias("served"))
+    found = as_findings(hits.select(
+        "target_id", F.lit("web").alias("scanner"), "hit.*", F.lit(SCANNER_ORD["web"]).alias("scanner_ord")))
+    return found.unionByName(_security_txt_finding(flags))

@@ -12,12 +12,14 @@ from argusframe.operators.files import count_files
 from argusframe.operators.merge import (
     best_sources, dedup_findings, filter_severity, source_cascade, union_scanners)
 from argusframe.operators.rules import RULES, Rule, prune_rules
-from argusframe.operators.sast import env_not_ignored, match_rule_table, scan_sources
+from argusframe.operators.sast import env_not_ignored, match_rule_table, report_rules
 from argusframe.operators.score import score_targets
-from argusframe.operators.secrets import scan_secrets
+from argusframe.operators.secrets import report_secrets
 from argusframe.operators.skew import salted_join
 from argusframe.operators.web import scan_web, web_errors
+from argusframe.plans.evidence import file_evidence
 from argusframe.schema import FINDINGS
+from argusframe.session import cut_lineage
 from argusframe.sources.reports import read_npm_audit_report, read_semgrep_report, read_trivy_report
 
 
@@ -46,8 +48,9 @@ class Engine:
     """Scans tables of targets.
 
     ``files``, ``responses`` and ``reports`` are tables over many targets; any
-    may be left out. Every method returns a DataFrame that nothing has been
-    computed for yet, but for ``rule_table`` whose rows are counted.
+    may be left out. The texts are read once: what the scanners need from them
+    is written to the checkpoint folder on first use, and all results are lazy
+    plans over that.
     """
 
     def __init__(self, files: DataFrame | None = None, responses: DataFrame | None = None,
@@ -56,6 +59,7 @@ class Engine:
         self.files, self.responses, self.reports = files, responses, reports
         self.options = options or ScanOptions()
         self._targets = targets
+        self._evidence: DataFrame | None = None
 
     @property
     def targets(self) -> DataFrame:
@@ -73,16 +77,34 @@ class Engine:
             targets = targets.unionByName(part)
         return targets.groupBy("target_id").agg(F.min("scan_type").alias("scan_type"))
 
+    @property
+    def evidence(self) -> DataFrame:
+        if self._evidence is None:
+            rules = prune_rules(self.options.rules, self.options.min_severity) if self.options.sast else []
+            self._evidence = cut_lineage(file_evidence(self.files, rules, self.options.secrets))
+        return self._evidence
+
+    def _of_kind(self, kind: str) -> DataFrame:
+        return self.evidence.filter(F.col("kind") == kind)
+
+    @property
+    def root_files(self) -> DataFrame:
+        return self._of_kind("root").select("target_id", "path", "size_bytes", "content")
+
+    def secret_findings(self) -> DataFrame:
+        return report_secrets(self._of_kind("secret").select("target_id", "path", "rule_ord", "line", "seq", "secret"))
+
     def dependency_findings(self) -> DataFrame:
-        built_in = scan_manifests(self.files)
+        built_in = scan_manifests(self.root_files)
         if self.reports is None:
             return built_in
         offered = union_scanners([read_trivy_report(self.reports), read_npm_audit_report(self.reports), built_in])
-        return source_cascade(offered, best_sources(self.files, self.reports))
+        return source_cascade(offered, best_sources(self.root_files, self.reports))
 
     def code_findings(self) -> DataFrame:
         options = self.options
-        parts = [env_not_ignored(self.files), scan_sources(self.files, prune_rules(options.rules, options.min_severity))]
+        hits = self._of_kind("rule").select("target_id", "path", "rule_ord", "line")
+        parts = [env_not_ignored(self.root_files), report_rules(hits, options.rules)]
         if options.rule_table is not None:
             parts.append(match_rule_table(self.files, options.rule_table))
         built_in = union_scanners(parts)
@@ -102,7 +124,7 @@ class Engine:
         options, parts = self.options, []
         if self.files is not None:
             if options.secrets:
-                parts.append(scan_secrets(self.files))
+                parts.append(self.secret_findings())
             if options.deps:
                 parts.append(self.dependency_findings())
             if options.sast:
@@ -118,7 +140,7 @@ class Engine:
         """``(target_id, scanner, error)`` of what could not be scanned."""
         parts = []
         if self.files is not None and self.options.deps:
-            parts.append(manifest_errors(self.files))
+            parts.append(manifest_errors(self.root_files))
         if self.responses is not None and self.options.web:
             parts.append(web_errors(self.responses))
         errors = parts[0]
