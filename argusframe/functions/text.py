@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, functions as F
 
 from argusframe.functions.regex import SPACE
@@ -76,3 +78,11 @@ def message(template: str, **values: Column) -> Column:
             parts.append(F.coalesce(values[name].cast("string"), F.lit("")))
         rest = tail
     return F.concat(*parts)
+
+
+def literal_lookup(key: Column, table: dict, fields: tuple[str, ...]) -> Column:
+    """``struct(fields..)`` of the table entry with the given key. The table is
+    one JSON literal, which Spark folds to a map when it plans the query."""
+    rows = {str(k): {f: getattr(v, f) for f in fields} for k, v in table.items()}
+    kind = "map<string,struct<" + ",".join(f"{f}:string" for f in fields) + ">>"
+    return F.element_at(F.from_json(F.lit(json.dumps(rows)), kind), key.cast("string"))

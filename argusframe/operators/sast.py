@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from argusframe.functions.regex import SPACE_IN_LINE
-from argusframe.functions.text import message, path_extension
+from argusframe.functions.text import literal_lookup, message, path_extension
 from argusframe.operators.files import explode_lines, prune_paths, size_cap
 from argusframe.operators.rules import FILE, LINE, RULES, RULES_BY_ID, Rule
 from argusframe.schema import SCANNER_ORD, as_findings
@@ -49,39 +49,32 @@ def newline_count(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def _extension_test(ext: Column, rule: Rule) -> Column:
-    return ext.isin(*rule.extensions) if rule.extensions else F.lit(False)
+def _extension_test(rule: Rule) -> Column:
+    """On column ``ext``; as SQL text, since a scan asks this for every rule."""
+    names = ", ".join(f"'{e}'" for e in rule.extensions)
+    return F.expr(f"ext IN ({names})" if names else "false")
 
 
-def _needle_test(lowered: Column, rule: Rule) -> Column:
-    test = None
-    for needle in rule.needles:
-        found = F.contains(lowered, F.lit(needle))
-        test = found if test is None else test | found
-    return F.lit(True) if test is None else test
-
-
-def _of_rule(ord_: Column, rules: Sequence[Rule], field: str) -> Column:
-    """Field of the rule with the given ord, from a folded literal map."""
-    pairs = [item for r in rules for item in (F.lit(r.ord), F.lit(getattr(r, field)))]
-    return F.element_at(F.create_map(*pairs), ord_)
+def _needle_test(rule: Rule) -> Column:
+    """On column ``lowered``."""
+    return F.expr(" OR ".join(f"contains(lowered, '{n}')" for n in rule.needles) or "true")
 
 
 def report_rules(hits: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    ord_ = F.col("rule_ord")
     where = message(" Found in `{path}` on line {line}.", path=F.col("path"), line=F.col("line"))
-    return as_findings(hits.select(
+    described = hits.withColumn("rule", literal_lookup(
+        F.col("rule_ord"), {r.ord: r for r in rules}, ("id", "severity", "title", "description", "recommendation")))
+    return as_findings(described.select(
         "target_id",
         F.lit("sast").alias("scanner"),
-        _of_rule(ord_, rules, "severity").alias("severity"),
+        "rule.severity",
         F.lit("code").alias("category"),
-        _of_rule(ord_, rules, "title").alias("title"),
-        F.concat(_of_rule(ord_, rules, "description"),
-                 F.when(F.col("line").isNotNull(), where).otherwise("")).alias("description"),
+        "rule.title",
+        F.concat("rule.description", F.when(F.col("line").isNotNull(), where).otherwise("")).alias("description"),
         F.col("path").alias("file"),
         "line",
-        _of_rule(ord_, rules, "recommendation").alias("recommendation"),
-        _of_rule(ord_, rules, "id").alias("rule_id"),
+        "rule.recommendation",
+        F.col("rule.id").alias("rule_id"),
         F.lit(SCANNER_ORD["sast"]).alias("scanner_ord"),
         "rule_ord",
         F.lit(1).alias("seq"),
@@ -100,28 +93,35 @@ def with_scan_texts(files: DataFrame, wanted: Column | None = None) -> DataFrame
 
 
 def rule_cases(rules: Sequence[Rule], use_needles: bool = True) -> list[Column]:
-    """One ``struct(rule_ord, line)`` or null per line and file rule, decided
-    on a row of ``with_scan_texts``; ``line`` is null for file rules."""
+    """One ``struct(rule_ord, before)`` or null per line and file rule, decided
+    on a row of ``with_scan_texts``. ``before`` is the text in front of the
+    first hit of a line rule, null for a file rule."""
+    clean, content = F.col("clean"), F.col("content")
+    whole = F.lit(None).cast("string").alias("before")
     cases = []
     for rule in rules:
         if rule.scope not in (LINE, FILE):
             continue
-        test = _extension_test(F.col("ext"), rule)
+        test = _extension_test(rule)
         if use_needles:
-            test = test & _needle_test(F.col("lowered"), rule)
+            test = test & _needle_test(rule)
         if rule.scope == LINE:
-            test = test & F.col("clean").rlike(rule.java)
-            before = F.get(F.split("clean", rule.java, 2), F.lit(0))
-            line = (newline_count(before) + 1).cast("int")
+            test = test & clean.rlike(rule.java)
+            before = F.split(clean, rule.java, 2)[0].alias("before")
         else:
-            test = test & F.col("content").rlike(rule.java)
+            test = test & content.rlike(rule.java)
             if rule.anti:
-                test = test & ~F.col("content").rlike(rule.java_anti)
-            line = F.lit(None).cast("int")
-        cases.append(F.when(test, F.struct(F.lit(rule.ord).alias("rule_ord"), line.alias("line"))))
+                test = test & ~content.rlike(rule.java_anti)
+            before = whole
+        cases.append(F.when(test, F.struct(F.lit(rule.ord).alias("rule_ord"), before)))
     return cases
 
 
+def hit_line(before: Column) -> Column:
+    """Line of a hit from the text in front of it."""
+    return F.when(before.isNotNull(), newline_count(before) + 1).cast("int")
+
+
 def scanned_extensions(rules: Sequence[Rule]) -> list[str]:
     return sorted({e for r in rules if r.scope in (LINE, FILE) for e in r.extensions})
 
@@ -137,7 +137,7 @@ def rule_hits(files: DataFrame, rules: Sequence[Rule], use_needles: bool = True)
     return (
         with_scan_texts(texts).select("target_id", "path", F.explode(F.array(*cases)).alias("hit"))
         .filter(F.col("hit").isNotNull())
-        .select("target_id", "path", "hit.rule_ord", "hit.line")
+        .select("target_id", "path", "hit.rule_ord", hit_line(F.col("hit.before")).alias("line"))
     )
 
 
@@ -149,9 +149,9 @@ def scan_sources(files: DataFrame, rules: Sequence[Rule] = RULES, use_needles: b
 def match_line_rules(lines: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Every ``(target_id, path, line, rule_id)`` where a line rule matches,
     on lines already pruned and cleared of suppressed ones."""
-    ext, text = F.col("ext"), F.col("text")
+    text = F.col("text")
     cases = [
-        F.when(_extension_test(ext, r) & text.rlike(r.java), F.lit(r.id))
+        F.when(_extension_test(r) & text.rlike(r.java), F.lit(r.id))
         for r in rules if r.scope == LINE
     ]
     return (
@@ -167,15 +167,16 @@ def first_match_per_file(matches: DataFrame) -> DataFrame:
 
 def match_file_rules(files: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """``(target_id, path, rule_id)`` of the whole-file rules."""
-    ext, content = path_extension(F.col("path")), F.col("content")
+    content = F.col("content")
     cases = []
     for rule in (r for r in rules if r.scope == FILE):
-        test = _extension_test(ext, rule) & content.rlike(rule.java)
+        test = _extension_test(rule) & content.rlike(rule.java)
         if rule.anti:
             test = test & ~content.rlike(rule.java_anti)
         cases.append(F.when(test, F.lit(rule.id)))
     return (
-        files.select("target_id", "path", F.explode(F.array(*cases)).alias("rule_id"))
+        files.withColumn("ext", path_extension(F.col("path")))
+        .select("target_id", "path", F.explode(F.array(*cases)).alias("rule_id"))
         .filter(F.col("rule_id").isNotNull())
     )
 

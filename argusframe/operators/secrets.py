@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from argusframe.functions.text import mask_secret, message
+from argusframe.functions.text import literal_lookup, mask_secret, message
 from argusframe.operators.files import is_secret_path, size_cap
 from argusframe.schema import SCANNER_ORD, as_findings
 
@@ -79,22 +79,20 @@ def scan_secrets(files: DataFrame, rules=SECRET_RULES) -> DataFrame:
 
 
 def report_secrets(matches: DataFrame, rules=SECRET_RULES) -> DataFrame:
-    def pick(field: str) -> Column:
-        pairs = [x for r in rules for x in (F.lit(r.ord), F.lit(getattr(r, field)))]
-        return F.element_at(F.create_map(*pairs), F.col("rule_ord"))
-
-    return as_findings(matches.select(
+    described = matches.withColumn("rule", literal_lookup(
+        F.col("rule_ord"), {r.ord: r for r in rules}, ("id", "severity", "title")))
+    return as_findings(described.select(
         "target_id",
         F.lit("secrets").alias("scanner"),
-        pick("severity").alias("severity"),
+        "rule.severity",
         F.lit("secret").alias("category"),
-        F.concat(pick("title"), F.lit(" in the code")).alias("title"),
+        F.concat("rule.title", F.lit(" in the code")).alias("title"),
         message("`{secret}` looks like a secret, in `{path}` on line {line}.",
                 secret=mask_secret(F.col("secret")), path=F.col("path"), line=F.col("line")).alias("description"),
         F.col("path").alias("file"),
         "line",
         F.lit("Revoke the secret and keep its successor in a secret store.").alias("recommendation"),
-        pick("id").alias("rule_id"),
+        F.col("rule.id").alias("rule_id"),
         F.lit(SCANNER_ORD["secrets"]).alias("scanner_ord"),
         "rule_ord",
         "seq",

@@ -15,7 +15,7 @@ from argusframe.functions.text import path_extension
 from argusframe.operators.deps import LOCK_FILES, PACKAGE_MANIFEST, REQUIREMENTS
 from argusframe.operators.files import MAX_SCAN_BYTES, is_scanned_path, is_secret_path
 from argusframe.operators.rules import Rule
-from argusframe.operators.sast import rule_cases, scanned_extensions, with_scan_texts
+from argusframe.operators.sast import hit_line, rule_cases, scanned_extensions, with_scan_texts
 from argusframe.operators.secrets import SECRET_RULES, secret_items
 
 ROOT_FILES = (PACKAGE_MANIFEST, REQUIREMENTS, *LOCK_FILES, ".env", ".gitignore")
@@ -41,7 +41,7 @@ def file_evidence(files: DataFrame, rules: Sequence[Rule], secrets: bool = True)
     cases = rule_cases(rules)
     if cases:
         hits = F.filter(F.array(*cases), lambda h: h.isNotNull())
-        parts.append(F.when(F.col("scanned"), F.transform(hits, lambda h: item("rule", rule_ord=h["rule_ord"], line=h["line"]))))
+        parts.append(F.when(F.col("scanned"), F.transform(hits, lambda h: item("rule", rule_ord=h["rule_ord"], line=hit_line(h["before"])))))
     if secrets:
         found = F.when(small & is_secret_path(path), secret_items(SECRET_RULES))
         parts.append(F.transform(found, lambda m: item(

@@ -198,7 +198,7 @@ def exchanges(d: Dialect) -> str:
              ELSE 'disallow: /admin¶disallow: /api¶disallow: /db¶disallow: /panel¶disallow: /staging¶disallow: /debug' END, '¶', chr(10))
         WHEN 'probe' THEN CASE h % 9 WHEN 0 THEN 'DB_PASSWORD=swordfish' WHEN 1 THEN 'tiny' WHEN 2 THEN concat(chr(10), ' <!DOCTYPE html><p>app</p>')
              WHEN 3 THEN '<html><body>app</body></html>' WHEN 4 THEN repeat('x', cast(150 + page_id % 50 + 99 AS INT))
-             WHEN 5 THEN repeat('x', cast(150 + page_id % 50 + 100 AS INT)) WHEN 6 THEN repeat('😀', 5) ELSE {d.at(marks, "(page_id + idx) % 9 + 1")} END
+             WHEN 5 THEN repeat('x', cast(150 + page_id % 50 + 100 AS INT)) WHEN 6 THEN repeat('😀', 5) ELSE {d.at(marks, "(cast(floor(page_id / 9) AS BIGINT) + idx) % 9 + 1")} END
         ELSE 'Contact: mailto:a@b.example' END AS body,
       CASE WHEN kind = 'main' AND page_id % 2 = 0 THEN 'max-age=1' END AS h_hsts,
       CASE WHEN kind = 'main' THEN CASE page_id % 3 WHEN 0 THEN 'default-src self' WHEN 1 THEN 'frame-ancestors none' END END AS h_csp,
