@@ -20,30 +20,38 @@ _STRING_KIND = "STRING"
 _MANIFEST = "array<struct<dependencies:map<string,variant>,devDependencies:map<string,variant>>>"
 
 
-def _parse_manifest(content: Column) -> tuple[Column, Column]:
-    """``(maps, readable)`` of a manifest text. Read as the only item of an
-    array, so that text after the document makes it unreadable. A document
-    whose maps have other types is readable and has no entries."""
-    wrapped = F.concat(F.lit("["), content, F.lit("]"))
-    maps = F.from_json(wrapped, _MANIFEST, {"allowSingleQuotes": "false"})
+def _parse_manifest(content: Column) -> Column:
+    """``array<struct<dependencies, devDependencies>>`` with the one document,
+    null or of another size when the text is no JSON document. It is read as
+    the only item of an array, so that text behind it makes it unreadable."""
+    return F.from_json(F.concat(F.lit("["), content, F.lit("]")), _MANIFEST, {"allowSingleQuotes": "false"})
+
+
+def _with_documents(manifests: DataFrame) -> DataFrame:
+    """Adds ``documents``, the parsed text, and ``readable``. The generator
+    keeps later filters from parsing again. A document whose maps have other
+    types is readable too and has no entries; only such are parsed a second
+    time, without a schema."""
+    parsed = manifests.select("*", F.explode(F.array(_parse_manifest(F.col("content")))).alias("documents"))
+    wrapped = F.concat(F.lit("["), F.col("content"), F.lit("]"))
     plain = F.try_variant_get(F.try_parse_json(wrapped), "$", "array<variant>")
     other = (F.size(plain) == 1) & ~F.is_variant_null(F.get(plain, F.lit(0)))
-    typed = (F.size(maps) == 1) & F.get(maps, F.lit(0)).isNotNull()
-    return F.get(maps, F.lit(0)), F.coalesce(typed, F.lit(False)) | F.coalesce(other, F.lit(False))
+    typed = (F.size("documents") == 1) & F.get("documents", F.lit(0)).isNotNull()
+    return parsed.withColumn("readable", F.when(typed, True).otherwise(F.coalesce(other, F.lit(False))))
+
+
+def _entries(field: str) -> Column:
+    none = F.expr("cast(map() as map<string,variant>)")
+    document = F.when(F.size("documents") == 1, F.get("documents", F.lit(0)))
+    return F.map_entries(F.coalesce(document[field], none))
 
 
 def read_package_manifests(files: DataFrame) -> DataFrame:
     """``(target_id, dependencies, dev_dependencies)`` of each readable root
     manifest, as arrays of entries in document order."""
-    maps, readable = _parse_manifest(F.col("content"))
-    none = F.expr("cast(map() as map<string,variant>)")
-    return (
-        files.filter(F.col("path") == PACKAGE_MANIFEST).filter(readable)
-        .select("target_id", maps.alias("m"))
-        .select("target_id",
-                F.map_entries(F.coalesce("m.dependencies", none)).alias("dependencies"),
-                F.map_entries(F.coalesce("m.devDependencies", none)).alias("dev_dependencies"))
-    )
+    manifests = files.filter(F.col("path") == PACKAGE_MANIFEST).select("target_id", "content")
+    return _with_documents(manifests).filter("readable").select(
+        "target_id", _entries("dependencies").alias("dependencies"), _entries("devDependencies").alias("dev_dependencies"))
 
 
 def read_requirements(files: DataFrame) -> DataFrame:
@@ -143,13 +151,11 @@ def git_dependency(dependencies: DataFrame) -> DataFrame:
 def missing_lockfile(files: DataFrame) -> DataFrame:
     """Targets with a readable manifest and no lock file at their root; one
     aggregation of flags, since texts stay behind."""
-    path = F.col("path")
-    _, readable = _parse_manifest(F.when(path == PACKAGE_MANIFEST, F.col("content")))
+    manifests = files.filter(F.col("path") == PACKAGE_MANIFEST).select("target_id", "content")
+    locks = files.filter(F.col("path").isin(*LOCK_FILES))
     roots = (
-        files.filter(path.isin(PACKAGE_MANIFEST, *LOCK_FILES))
-        .select("target_id",
-                readable.alias("readable"),
-                path.isin(*LOCK_FILES).alias("locked"))
+        _with_documents(manifests).select("target_id", "readable", F.lit(False).alias("locked"))
+        .unionByName(locks.select("target_id", F.lit(False).alias("readable"), F.lit(True).alias("locked")))
         .groupBy("target_id").agg(F.max("readable").alias("readable"), F.max("locked").alias("locked"))
         .filter(F.col("readable") & ~F.col("locked"))
     )
@@ -189,7 +195,7 @@ def scan_manifests(files: DataFrame) -> DataFrame:
 
 def manifest_errors(files: DataFrame) -> DataFrame:
     """``(target_id, scanner, error)``: unreadable manifests and bad entries."""
-    _, readable = _parse_manifest(F.col("content"))
-    unreadable = files.filter(F.col("path") == PACKAGE_MANIFEST).filter(~readable).select(
+    manifests = files.filter(F.col("path") == PACKAGE_MANIFEST).select("target_id", "content")
+    unreadable = _with_documents(manifests).filter("NOT readable").select(
         "target_id", F.lit("deps").alias("scanner"), F.lit(f"{PACKAGE_MANIFEST}: unreadable").alias("error"))
     return unreadable.unionByName(bad_entries(merge_dependencies(read_package_manifests(files))))

@@ -8,14 +8,16 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from argusframe.functions.severity import SEVERITIES, severity_rank
-from argusframe.operators.skew import salted_join
+from argusframe.operators.deps import LOCK_FILES, PACKAGE_MANIFEST, REQUIREMENTS, scan_manifests
 from argusframe.schema import as_findings
+from argusframe.session import cut_lineage
+from argusframe.sources.reports import read_npm_audit_report, read_trivy_report
 
 # Result order of findings inside a target; files by path.
 EMISSION_ORDER = ("scanner_ord", "file", "rule_ord", "seq", "line", "rule_id", "title", "description", "severity")
 
 # Dependency sources, best first.
-SOURCE_RANK = {"trivy": 1, "npm-audit": 2, "deps": 3}
+SOURCE_RANK = {"trivy": 1, "npm-audit": 2}
 
 
 def union_scanners(parts: Sequence[DataFrame]) -> DataFrame:
@@ -41,13 +43,11 @@ def dedup_findings(findings: DataFrame) -> DataFrame:
     )
 
 
-def best_sources(files: DataFrame, reports: DataFrame | None) -> DataFrame:
+def best_sources(files: DataFrame, reports: DataFrame) -> DataFrame:
     """``(target_id, best)`` where ``best`` is the rank of the first dependency
     source that succeeded: a readable Trivy report, a readable npm report of a
     target with a package-lock.json, else the built-in checks. Targets on the
     built-in checks are left out."""
-    if reports is None:
-        return files.sparkSession.createDataFrame([], "target_id string, best int")
     readable = F.try_parse_json("json").isNotNull()
     have = reports.filter(F.col("source").isin("trivy", "npm-audit") & readable).select(
         "target_id", (F.col("source") == "trivy").alias("trivy"), (F.col("source") == "npm-audit").alias("npm"), F.lit(False).alias("locked"))
@@ -57,14 +57,19 @@ def best_sources(files: DataFrame, reports: DataFrame | None) -> DataFrame:
     return have.unionByName(locks).groupBy("target_id").agg(best.alias("best")).filter(F.col("best").isNotNull())
 
 
-def source_cascade(findings: DataFrame, best: DataFrame) -> DataFrame:
+def source_cascade(files: DataFrame, reports: DataFrame) -> DataFrame:
     """Dependency findings of each target's best source only; a source that
-    succeeded with nothing found still silences the later ones."""
-    rank = F.lit(None).cast("int")
-    for scanner, place in SOURCE_RANK.items():
-        rank = F.when(F.col("scanner") == scanner, place).otherwise(rank)
-    joined = salted_join(findings, best, ["target_id"], "left")
-    return joined.filter(rank == F.coalesce("best", F.lit(SOURCE_RANK["deps"]))).drop("best")
+    succeeded with nothing found still silences the later ones. Reports and
+    manifests are chosen before they are taken apart into findings, while they
+    are a few rows per target. The choice is written down, since every branch
+    asks for it and it reads all reports."""
+    best = cut_lineage(best_sources(files, reports))
+    chosen = reports.join(best, "target_id").filter(
+        ((F.col("source") == "trivy") & (F.col("best") == SOURCE_RANK["trivy"]))
+        | ((F.col("source") == "npm-audit") & (F.col("best") == SOURCE_RANK["npm-audit"])))
+    manifests = files.filter(F.col("path").isin(PACKAGE_MANIFEST, REQUIREMENTS, *LOCK_FILES))
+    left = manifests.join(best, "target_id", "left_anti")
+    return union_scanners([read_trivy_report(chosen), read_npm_audit_report(chosen), scan_manifests(left)])
 
 
 def order_by_severity(findings: DataFrame) -> DataFrame:

@@ -9,18 +9,16 @@ from pyspark.sql import DataFrame, functions as F
 from argusframe.functions.urls import classify_target
 from argusframe.operators.deps import manifest_errors, scan_manifests
 from argusframe.operators.files import count_files
-from argusframe.operators.merge import (
-    best_sources, dedup_findings, filter_severity, source_cascade, union_scanners)
+from argusframe.operators.merge import dedup_findings, filter_severity, source_cascade, union_scanners
 from argusframe.operators.rules import RULES, Rule, prune_rules
 from argusframe.operators.sast import env_not_ignored, match_rule_table, report_rules
 from argusframe.operators.score import score_targets
 from argusframe.operators.secrets import report_secrets
-from argusframe.operators.skew import salted_join
 from argusframe.operators.web import scan_web, web_errors
 from argusframe.plans.evidence import file_evidence
 from argusframe.schema import FINDINGS
 from argusframe.session import cut_lineage
-from argusframe.sources.reports import read_npm_audit_report, read_semgrep_report, read_trivy_report
+from argusframe.sources.reports import read_semgrep_report
 
 
 @dataclass
@@ -95,11 +93,9 @@ class Engine:
         return report_secrets(self._of_kind("secret").select("target_id", "path", "rule_ord", "line", "seq", "secret"))
 
     def dependency_findings(self) -> DataFrame:
-        built_in = scan_manifests(self.root_files)
         if self.reports is None:
-            return built_in
-        offered = union_scanners([read_trivy_report(self.reports), read_npm_audit_report(self.reports), built_in])
-        return source_cascade(offered, best_sources(self.root_files, self.reports))
+            return scan_manifests(self.root_files)
+        return source_cascade(self.root_files, self.reports)
 
     def code_findings(self) -> DataFrame:
         options = self.options
@@ -110,14 +106,17 @@ class Engine:
         built_in = union_scanners(parts)
         if self.reports is None:
             return built_in
-        # Duplicates are dropped where a code report was merged in; all others
-        # skip the shuffle.
-        external = read_semgrep_report(self.reports, options.semgrep_root)
-        reported = self.reports.filter((F.col("source") == "semgrep") & F.try_parse_json("json").isNotNull()).select(
-            "target_id").distinct().withColumn("_reported", F.lit(True))
-        marked = salted_join(union_scanners([external, built_in]), reported, ["target_id"], "left")
-        merged = dedup_findings(marked.filter("_reported").drop("_reported"))
-        return merged.unionByName(marked.filter(F.col("_reported").isNull()).drop("_reported"))
+        # A reported finding comes first, so it stands and its built-in double
+        # goes. Built-in hits are unique per file and rule, so only rows that
+        # share a rule id with a report can be doubles.
+        external = dedup_findings(read_semgrep_report(self.reports, options.semgrep_root))
+        keys = ("target_id", "file", "rule_id")
+        taken = external.select(*keys, F.coalesce("line", F.lit(0)).alias("_line"))
+        if options.rule_table is None:
+            taken = taken.filter(F.col("rule_id").isin(*[r.id for r in options.rules]))
+        kept = built_in.withColumn("_line", F.coalesce("line", F.lit(0))).join(
+            taken.distinct(), [*keys, "_line"], "left_anti")
+        return external.unionByName(kept.drop("_line"))
 
     def findings(self) -> DataFrame:
         """The findings of all scanners chosen, at or above the severity."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from argusframe.operators.skew import spread_splits
 from argusframe.schema import FILES, RESPONSES
 
 _FORMATS = ("parquet", "json", "orc")
@@ -35,4 +36,4 @@ def lower_header_names(responses: DataFrame) -> DataFrame:
 def _load(spark: SparkSession, path: str, fmt: str, schema) -> DataFrame:
     if fmt not in _FORMATS:
         raise ValueError(f"unknown format {fmt!r}; one of {', '.join(_FORMATS)}")
-    return spark.read.schema(schema).format(fmt).load(path)
+    return spread_splits(spark.read.schema(schema).format(fmt).load(path))

@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from argusframe.operators.skew import spread_splits
 from argusframe.sources.tables import lower_header_names
 from crosscheck.snippets import SNIPPETS
 
@@ -298,7 +299,9 @@ BUILDERS = {f.__name__: f for f in (
     archive_members)}
 
 
-_SCHEMAS: dict = {}
+_TEXT_TABLES = ("documents", "pages")
+_TABLES: dict = {}
+_STORED: dict[tuple[str, str], str] = {}
 
 
 class Inputs:
@@ -308,19 +311,33 @@ class Inputs:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
+        """A driver table; the look at its schema and splits is kept."""
         path = str(Path(self.sf_dir) / f"{name}.parquet")
         key = (self.spark.sparkContext.applicationId, path)
-        if key not in _SCHEMAS:
-            _SCHEMAS[key] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(_SCHEMAS[key]).parquet(path)
+        if key not in _TABLES:
+            scan = self.spark.read.parquet(path)
+            _TABLES[key] = scan.schema, spread_splits(scan) is not scan
+        schema, few = _TABLES[key]
+        scan = self.spark.read.schema(schema).parquet(path)
+        return scan.repartition(self.spark.sparkContext.defaultParallelism) if few and name in _TEXT_TABLES else scan
 
     def derive(self, name: str) -> DataFrame:
+        """A derived input; from its stored table if it was stored."""
+        stored = _STORED.get((self.sf_dir, name))
+        if stored:
+            return self.spark.read.parquet(stored)
         sql = BUILDERS[name](SPARK)
         for table in TABLES:
             if f" {table}" in sql:
                 self.table(table).createOrReplaceTempView(table)
         return self.spark.sql(sql)
 
+    def store(self, name: str, folder: str) -> None:
+        """Write a derived input as Parquet; later calls read it from there."""
+        path = f"{folder}/{name}"
+        self.derive(name).write.parquet(path)
+        _STORED[(self.sf_dir, name)] = path
+
     def archives(self, kind: str) -> DataFrame:
         """One archive per block of 24 documents."""
         import io

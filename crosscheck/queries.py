@@ -335,9 +335,8 @@ def _(i): return deps.scan_manifests(i.derive("manifests")).groupBy("target_id",
 
 @query("source_cascade")
 def _(i):
-    m, r = i.derive("manifests"), i.derive("reports")
-    offered = merge.union_scanners([rep.read_trivy_report(r), rep.read_npm_audit_report(r), deps.scan_manifests(m)])
-    return merge.source_cascade(offered, merge.best_sources(m, r)).groupBy("target_id", "scanner").agg(F.count(F.lit(1)).alias("n"))
+    found = merge.source_cascade(i.derive("manifests"), i.derive("reports"))
+    return found.groupBy("target_id", "scanner").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("best_sources")
