@@ -1,0 +1,71 @@
+from __future__ import annotations
+
+import io
+import tarfile
+import zipfile
+
+from conftest import rows
+
+from argusframe.operators.sast import scan_sources
+from argusframe.plans.scan import Engine
+from argusframe.sources.archives import archive_errors, entry_names, read_tar_archives, read_zip_archives
+from argusframe.streaming import scan_stream as st
+
+MEMBERS = {"a.js": b"eval(1)", ".env": b"K=1", ".gitignore": b"dist", "pkg/__init__.py": b"os.system(1)", "node_modules/x.js": b"eval(2)", "bad.js": b"eval(\xff)"}
+
+
+def write_zip(folder, name, members, extra=()):
+    with zipfile.ZipFile(folder / f"{name}.zip", "w") as z:
+        for path, data in members.items():
+            z.writestr(path, data)
+        for path in extra:
+            z.writestr(path, "x")
+
+
+def test_zip(spark, tmp_path):
+    write_zip(tmp_path, "one", MEMBERS, extra=("../out.js", "/abs.js"))
+    (tmp_path / "broken.zip").write_bytes(b"PK no")
+    files = read_zip_archives(spark, str(tmp_path))
+    assert {r.path for r in files.filter("target_id = 'one'").collect()} == set(MEMBERS)
+    assert rows(files.filter("content is null and path is not null"), "path") == [("node_modules/x.js",)]
+    assert rows(files.filter("path = 'bad.js'"), "content", "size_bytes") == [("eval(\ufffd)", 7)]
+    assert rows(archive_errors(files), "target_id") == [("broken",)]
+
+
+def test_tar(spark, tmp_path):
+    with tarfile.open(tmp_path / "repo.tar.gz", "w:gz") as t:
+        for path, data in MEMBERS.items():
+            info = tarfile.TarInfo(f"owner-repo-abc/{path}")
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+    files = read_tar_archives(spark, str(tmp_path))
+    assert {(r.target_id, r.path) for r in files.collect()} == {("repo", p) for p in MEMBERS}
+
+
+def test_entry_names():
+    assert entry_names("top/./a/b.js", 1) == ["a", "b.js"]
+    assert entry_names("a/../b", 0) is None and entry_names("/a", 0) is None and entry_names("C:\\a", 0) is None
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    write_zip(source, "one", MEMBERS)
+    write_zip(source, "two", {"b.js": b"Math.random()"})
+    st.start_findings(st.stream_archives(spark, str(source)), str(out / "f"), str(tmp_path / "c1")).awaitTermination()
+    batch = Engine(files=read_zip_archives(spark, str(source)))
+    assert rows(spark.read.parquet(str(out / "f")).drop("batch_id"), "*") == rows(batch.findings(), "*")
+    st.start_scores(st.stream_archives(spark, str(source)), str(out / "s"), str(tmp_path / "c2")).awaitTermination()
+    assert rows(spark.read.parquet(str(out / "s")).drop("batch_id"), "*") == rows(batch.summary(), "*")
+    # what arrives later is scanned alone
+    write_zip(source, "three", {"c.js": b"eval(3)"})
+    st.start_scores(st.stream_archives(spark, str(source)), str(out / "s"), str(tmp_path / "c2")).awaitTermination()
+    assert rows(spark.read.parquet(str(out / "s")), "target_id") == [("one",), ("three",), ("two",)]
+
+
+def test_stateless_stream(spark, tmp_path, make_files):
+    make_files([("t", "a.js", "eval(1)")]).write.parquet(str(tmp_path / "in"))
+    found = st.stream_scan(st.stream_files(spark, str(tmp_path / "in")))
+    found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(
+        availableNow=True).start().awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "out")), "*") == rows(scan_sources(spark.read.parquet(str(tmp_path / "in"))), "*")
