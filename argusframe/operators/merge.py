@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from argusframe.functions.severity import SEVERITIES, severity_rank
 from argusframe.operators.deps import LOCK_FILES, PACKAGE_MANIFEST, REQUIREMENTS, scan_manifests
-from argusframe.schema import as_findings
+from argusframe.schema import FINDING_COLUMNS, as_findings
 from argusframe.session import cut_lineage
 from argusframe.sources.reports import read_npm_audit_report, read_trivy_report
 
@@ -21,7 +21,7 @@ SOURCE_RANK = {"trivy": 1, "npm-audit": 2}
 
 
 def union_scanners(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), [as_findings(p) for p in parts])
+    return reduce(lambda a, b: a.unionByName(b), [p if p.columns == FINDING_COLUMNS else as_findings(p) for p in parts])
 
 
 def filter_severity(findings: DataFrame, threshold: str = "low") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 FILES = T.StructType([
     T.StructField("target_id", T.StringType(), False),
@@ -51,7 +51,5 @@ SCANNER_ORD = {"secrets": 1, "trivy": 2, "npm-audit": 2, "deps": 2, "semgrep": 3
 def as_findings(df: DataFrame) -> DataFrame:
     """Cast to the findings schema; columns that are absent become null."""
     have = set(df.columns)
-    return df.select(*[
-        (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in FINDINGS.fields
-    ])
+    return df.selectExpr(*[
+        f"cast({f.name if f.name in have else 'NULL'} AS {f.dataType.simpleString()}) AS {f.name}" for f in FINDINGS.fields])

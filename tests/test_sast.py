@@ -105,10 +105,7 @@ def test_env(make_files):
     assert rows(env_not_ignored(f), "target_id", "file", "category", "severity") == [("a", ".env", "config", "high"), ("b", ".gitignore", "config", "high")]
 
 
-FIXTURE_RULES = {"eval-usage", "cors-wildcard"}
-
-
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=5, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(SNIPPETS + ["", "  ", "plain text", "// note"]), max_size=6), min_size=1, max_size=40))
 def test_text_search_equals_line_by_line(spark, make_files, texts):
     """The search in whole texts, with and without the needle test, finds what
@@ -152,7 +149,7 @@ def test_user_rules(spark, make_files):
 def test_scan_stage_has_no_shuffle_and_reads_needed_columns(spark, tmp_path, make_files):
     make_files([("t", "a.js", "eval(1)")]).write.parquet(str(tmp_path / "f"))
     plan = scan_sources(spark.read.parquet(str(tmp_path / "f")))._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
+    assert not re.search(r"Exchange (hash|range|RoundRobin|Single)", plan)
     assert re.search(r"PushedFilters: \[[^\]]*LessThanOrEqual\(size_bytes,1048576\)", plan)
 
 
