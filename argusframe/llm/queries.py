@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from argusframe.llm import ngram_join, substring_dedup
+from argusframe.llm import byte_cnn, ngram_join, substring_dedup, text_cnn
 from argusframe.llm import quality_rules as rules
-from argusframe.llm.common import documents
+from argusframe.llm.common import documents, labels
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(documents(spark, sf_dir))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.quality_classifier(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup_digests(documents(spark, sf_dir))
 
@@ -23,9 +27,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(documents(spark, sf_dir))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_cnn.toxicity_classifier(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_toxicity": op7_toxicity,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLES: dict[str, str] = {}

@@ -52,10 +52,10 @@ class Slice:
     ``word_bounds``: first word of each text and the end.
     """
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, first: int, lower: bool):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, first: int, lower: bool, apart: np.ndarray = _SPACE):
         self.first, self.n, self.bounds = first, len(bounds) - 1, bounds
         self.data = _LOWER[data] if lower else data
-        inside = ~_SPACE[data]
+        inside = ~apart[data]
         heads = bounds[:-1][bounds[:-1] < bounds[1:]]
         start, end = inside.copy(), inside.copy()
         start[1:] &= ~inside[:-1]
@@ -118,8 +118,8 @@ def windows(words: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
-def slices(texts: pa.Array, lower: bool = False) -> Iterator[Slice]:
-    """A column of texts (null: empty) in slices, in order."""
+def slices(texts: pa.Array, lower: bool = False, apart: np.ndarray = _SPACE) -> Iterator[Slice]:
+    """A column of texts (null: empty) in slices, in order. ``apart``: which bytes stand between words."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -131,7 +131,7 @@ def slices(texts: pa.Array, lower: bool = False) -> Iterator[Slice]:
     at = 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, side="right")) - 1)
-        yield Slice(data[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at], at, lower)
+        yield Slice(data[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at], at, lower, apart)
         at = to
 
 
