@@ -4,17 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from argusframe.llm import byte_cnn, ngram_join, substring_dedup, text_cnn
+from argusframe.llm import byte_cnn, ngram_join, packing, piece_codec, sharding, substring_dedup, text_cnn
 from argusframe.llm import quality_rules as rules
 from argusframe.llm.common import documents, labels
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(documents(spark, sf_dir))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.vector_sharding(documents(spark, sf_dir))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.quality_classifier(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -31,11 +40,18 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_cnn.toxicity_classifier(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.codec_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_join": op2_ngram_join,
+    "op3_sharding": op3_sharding,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_toxicity": op7_toxicity,
     "op9_quality_rules": op9_quality_rules,
+    "op10_piece_codec": op10_piece_codec,
 }
 ORACLES: dict[str, str] = {}
