@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from argusframe.llm import byte_cnn, ngram_join, packing, piece_codec, sharding, substring_dedup, text_cnn
+from argusframe.llm import byte_cnn, ngram_join, packing, piece_codec, sharding, sketches, substring_dedup, text_cnn
 from argusframe.llm import quality_rules as rules
 from argusframe.llm.common import documents, labels
 
@@ -40,6 +40,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_cnn.toxicity_classifier(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op8_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.document_fingerprints(documents(spark, sf_dir))
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.codec_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_toxicity": op7_toxicity,
+    "op8_sketches": op8_sketches,
     "op9_quality_rules": op9_quality_rules,
     "op10_piece_codec": op10_piece_codec,
 }
