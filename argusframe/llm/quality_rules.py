@@ -165,9 +165,27 @@ def references(docs: DataFrame, limits: QualityLimits) -> dict[str, tuple[np.nda
     return {r.lang: (np.array(r.counts[:len(CLASSES)]), np.array(r.counts[len(CLASSES):])) for r in total.collect()}
 
 
+def _verdicts(batch: pa.RecordBatch, limits: QualityLimits, known: dict) -> Iterator[tuple[Slice, dict[str, np.ndarray]]]:
+    """Measures and verdict of the rows of a batch, slice by slice."""
+    langs = batch.column("lang").to_pylist()
+    for s in slices(batch.column("text")):
+        m = measure(s)
+        own = np.array([language(x) for x in langs[s.first:s.first + s.n]])
+        m["char_distance"], m["word_distance"] = np.zeros(s.n), np.zeros(s.n)
+        for code in np.unique(own):
+            if code in known:
+                mine = own == code
+                m["char_distance"][mine] = distance(m["chars"][mine], known[code][0])
+                m["word_distance"][mine] = distance(m["common"][mine], known[code][1])
+        odd = (m["char_distance"] > limits.chars_distance) & (m["chars"].sum(1) >= limits.chars_from)
+        odd |= (m["word_distance"] > limits.words_distance) & (m["n_words"] >= limits.words_from)
+        m["base_failed"] = _base_failed(m, limits)
+        m["kept"] = ~m["base_failed"] & ~odd
+        yield s, m
+
+
 def quality_rules(docs: DataFrame, limits: QualityLimits | None = None) -> DataFrame:
-    """``docs`` (doc_id, text, lang, ...) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    char_distance, word_distance and kept in place of every other column but doc_id.
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept) for each row of ``docs``.
 
     Null or blank texts have no words and fail the base; a null or odd language code counts as "und";
     repeated rows are judged one by one and alike; an empty table gives an empty result; columns other than
@@ -175,27 +193,28 @@ def quality_rules(docs: DataFrame, limits: QualityLimits | None = None) -> DataF
     """
     limits = limits or QualityLimits()
     known = references(docs, limits)
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    rest = ("base_failed", "char_distance", "word_distance", "kept")
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches):
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            for s in slices(batch.column("text")):
-                m = measure(s)
-                own = np.array([language(x) for x in langs[s.first:s.first + s.n]])
-                of_chars, of_words = np.zeros(s.n), np.zeros(s.n)
-                for code in np.unique(own):
-                    if code in known:
-                        mine = own == code
-                        of_chars[mine] = distance(m["chars"][mine], known[code][0])
-                        of_words[mine] = distance(m["common"][mine], known[code][1])
-                failed = _base_failed(m, limits)
-                odd = (of_chars > limits.chars_distance) & (m["chars"].sum(1) >= limits.chars_from)
-                odd |= (of_words > limits.words_distance) & (m["n_words"] >= limits.words_from)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(s.first, s.n), *(pa.array(m[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
-                     pa.array(failed), pa.array(of_chars), pa.array(of_words), pa.array(~failed & ~odd)],
-                    names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"])
+            for s, m in _verdicts(batch, limits, known):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s.first, s.n), *(pa.array(m[k].astype(np.int64)) for k in counts), *(pa.array(m[k]) for k in rest)],
+                                                 names=["doc_id", *counts, *rest])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").mapInArrow(
-        judge, "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
-               "base_failed boolean, char_distance double, word_distance double, kept boolean")
+        judge, f"doc_id bigint, {' bigint, '.join(counts)} bigint, base_failed boolean, char_distance double, word_distance double, kept boolean")
+
+
+def good_documents(docs: DataFrame, limits: QualityLimits | None = None) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns, in one pass next to the scan."""
+    limits = limits or QualityLimits()
+    known = references(docs, limits)
+
+    def keep(batches):
+        for batch in batches:
+            kept = [m["kept"] for _, m in _verdicts(batch, limits, known)]
+            if kept:
+                yield batch.filter(pa.array(np.concatenate(kept)))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from argusframe.llm import byte_cnn, ngram_join, packing, piece_codec, sharding, sketches, substring_dedup, text_cnn
+from argusframe.llm import byte_cnn, ngram_join, packing, piece_codec, sanitize, sharding, sketches, substring_dedup, text_cnn
 from argusframe.llm import quality_rules as rules
 from argusframe.llm.common import documents, labels
 
@@ -24,6 +25,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.vector_sharding(documents(spark, sf_dir))
 
 
+def op4_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitize.sanitize_digests(documents(spark, sf_dir))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.quality_classifier(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -52,11 +57,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_join": op2_ngram_join,
     "op3_sharding": op3_sharding,
+    "op4_sanitize": op4_sanitize,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_sketches": op8_sketches,
     "op9_quality_rules": op9_quality_rules,
     "op10_piece_codec": op10_piece_codec,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
