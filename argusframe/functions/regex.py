@@ -31,10 +31,18 @@ def java_pattern(pattern: str, ignore_case: bool = False, single_line: bool = Fa
             return _BOUNDARY
         if piece == ".":
             return NOT_TERMINATOR
+        if piece == "^" and single_line:
+            return r"(?<![^\n])"
+        if piece == "$":
+            return r"(?![^\n])" if single_line else r"\z"
+        if piece in (r"\W", r"\D") and single_line:
+            return rf"[^{piece.lower()}\n]"
         if piece.startswith("[") and len(piece) > 1:
             inner = piece[1:-1].replace(r"\s", space)
             if single_line and inner.startswith("^"):
                 inner += r"\n"
+            elif single_line and re.search(r"\\[WDS]", inner):
+                inner += r"&&[^\n]"
             return f"[{inner}]"
         return piece
 

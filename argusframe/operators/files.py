@@ -27,10 +27,10 @@ MAX_DEPTH = 10
 MAX_SCAN_BYTES = 1024 * 1024
 
 
-def _reachable(path: Column, kept_hidden, ignored: tuple[str, ...]) -> Column:
+def _reachable(path: Column, kept_hidden, ignored: tuple[str, ...], depth: int | None = MAX_DEPTH) -> Column:
     names = F.split(path, "/")
     blocked = F.exists(names, lambda n: (F.startswith(n, F.lit(".")) & ~kept_hidden(n)) | n.isin(*ignored))
-    return (F.size(names) <= MAX_DEPTH) & ~blocked
+    return ~blocked if depth is None else (F.size(names) <= depth) & ~blocked
 
 
 def is_scanned_path(path: Column) -> Column:
@@ -43,8 +43,8 @@ def is_counted_path(path: Column) -> Column:
 
 
 def is_secret_path(path: Column) -> Column:
-    """Files searched for secrets: as counted, of any extension."""
-    return _reachable(path, lambda n: F.startswith(n, F.lit(".env")), COUNT_IGNORED)
+    """Files searched for secrets: as counted, but of any extension and depth."""
+    return _reachable(path, lambda n: F.startswith(n, F.lit(".env")), COUNT_IGNORED, depth=None)
 
 
 def prune_paths(files: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ apart on exploded lines, for callers who want every hit.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from argusframe.functions.regex import SPACE_IN_LINE
 from argusframe.functions.text import literal_lookup, message, path_extension
 from argusframe.operators.files import explode_lines, prune_paths, size_cap
-from argusframe.operators.rules import FILE, LINE, RULES, RULES_BY_ID, Rule
+from argusframe.operators.rules import FILE, LINE, RULES, RULES_BY_ID, USER_RULE_ORD, Rule
 from argusframe.schema import SCANNER_ORD, as_findings
 
 # Lines that begin so are comments or rule definitions.
@@ -107,7 +108,10 @@ def rule_cases(rules: Sequence[Rule], use_needles: bool = True) -> list[Column]:
             test = test & _needle_test(rule)
         if rule.scope == LINE:
             test = test & clean.rlike(rule.java)
-            before = F.split(clean, rule.java, 2)[0].alias("before")
+            before = F.split(clean, rule.java, 2)[0]
+            if rule.ord >= USER_RULE_ORD:  # splitting passes over a hit of no width at the start
+                before = F.when(F.regexp_instr(clean, F.lit(rule.java)) == 1, "").otherwise(before)
+            before = before.alias("before")
         else:
             test = test & content.rlike(rule.java)
             if rule.anti:
@@ -220,28 +224,40 @@ def env_not_ignored(files: DataFrame) -> DataFrame:
     ))
 
 
-def match_rule_table(files: DataFrame, rule_table: DataFrame, broadcast_rows: int = 20_000) -> DataFrame:
-    """User rules too many to be unrolled, kept as a table ``(id, severity,
-    extension, scope, pattern, anti, title, description, recommendation)`` with
-    one row per rule and extension and Java patterns. Joined to the files of
-    the extension; line rules report their first line. The rule side is
-    broadcast only if it is counted to be small.
+_TABLE_RULE = "n int, is_line boolean, pattern string, anti string"
+
+
+def match_rule_table(files: DataFrame, rule_table: DataFrame) -> DataFrame:
+    """User rules as a table ``(id, severity, extension, scope, pattern, anti,
+    title, description, recommendation)`` with one row per rule and extension
+    and Java patterns, which are matched line by line; a line rule reports its
+    first line. Any number of rules goes the same way: they are part of the
+    program, so they are read when the scan is planned and put into it as one
+    literal by extension, and each text is split once for all its rules.
+    Nothing is joined by extension.
     """
-    small = rule_table.limit(broadcast_rows + 1).count() <= broadcast_rows
-    side = F.broadcast(rule_table) if small else rule_table
-    texts = size_cap(prune_paths(files)).select(
-        "target_id", "path", "content", path_extension(F.col("path")).alias("extension"))
-    lines = F.split(blank_suppressed(F.col("content")), "\n")
-    first = F.array_min(F.transform(lines, lambda text, i: F.when(F.rlike(text, F.col("pattern")), i + 1)))
-    whole = F.rlike(F.col("content"), F.col("pattern")) & ~F.coalesce(F.rlike(F.col("content"), F.col("anti")), F.lit(False))
-    hits = (
-        texts.join(side, "extension")
-        .withColumn("line", F.when(F.col("scope") == LINE, first))
-        .filter(F.when(F.col("scope") == LINE, F.col("line").isNotNull()).otherwise(whole))
-    )
-    return as_findings(hits.select(
-        "target_id", F.lit("sast").alias("scanner"), "severity", F.lit("code").alias("category"),
-        "title", "description", F.col("path").alias("file"), "line", "recommendation",
-        F.col("id").alias("rule_id"), F.lit(SCANNER_ORD["sast"]).alias("scanner_ord"),
-        F.lit(10_000).alias("rule_ord"), F.lit(1).alias("seq"),
-    ))
+    rules, by_extension = [], {}
+    numbers: dict[str, int] = {}
+    for row in rule_table.select("id", "severity", "extension", "scope", "pattern", "anti", "title", "description", "recommendation").collect():
+        if row.id not in numbers:
+            numbers[row.id] = len(rules)
+            rules.append(Rule(row.id, row.severity, (), row.scope, row.pattern, title=row.title or "", description=row.description or "",
+                              recommendation=row.recommendation or "", ord=USER_RULE_ORD + len(rules)))
+        by_extension.setdefault(row.extension, []).append(
+            {"n": USER_RULE_ORD + numbers[row.id], "is_line": row.scope == LINE, "pattern": row.pattern, "anti": row.anti})
+    by_extension.pop(None, None)
+    ext = path_extension(F.col("path"))
+    texts = size_cap(prune_paths(files)).filter(ext.isin(list(by_extension)))
+    mine = F.element_at(F.from_json(F.lit(json.dumps(by_extension)), f"map<string,array<struct<{_TABLE_RULE.replace(' ', ':').replace(',:', ',')}>>>"), ext)
+    lines = F.transform(F.split("content", "\n"), lambda text: F.when(~is_suppressed(text), text))
+
+    def hits(held: Column) -> Column:
+        def of_rule(r: Column) -> Column:
+            first = F.array_min(F.transform(held, lambda text, i: F.when(F.rlike(text, r["pattern"]), i + 1)))
+            whole = F.rlike(F.col("content"), r["pattern"]) & ~F.coalesce(F.rlike(F.col("content"), r["anti"]), F.lit(False))
+            line = F.when(r["is_line"], first)
+            return F.when(F.when(r["is_line"], line.isNotNull()).otherwise(whole), F.struct(r["n"].alias("rule_ord"), line.alias("line")))
+        return F.filter(F.transform(mine, of_rule), lambda h: h.isNotNull())
+
+    found = F.get(F.transform(F.array(lines), hits), F.lit(0))
+    return report_rules(texts.select("target_id", "path", F.explode(found).alias("hit")).select("target_id", "path", "hit.rule_ord", "hit.line"), rules)

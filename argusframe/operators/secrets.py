@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from argusframe.functions.text import literal_lookup, mask_secret, message
-from argusframe.operators.files import is_secret_path, size_cap
+from argusframe.operators.files import is_secret_path
 from argusframe.schema import SCANNER_ORD, as_findings
 
 
@@ -21,6 +21,12 @@ class SecretRule:
     needles: tuple[str, ...]
     title: str
     ord: int
+    java: str | None = None
+    """The same matches as ``pattern`` without a group that Java would recurse into."""
+
+    @property
+    def search(self) -> str:
+        return self.java or self.pattern
 
 
 # What counts as a secret. ``group`` is the part to be masked.
@@ -30,21 +36,22 @@ SECRET_RULES = (
                0, ("sk_live_", "sk-", "AKIA", "ghp_"), "API key", 1),
     SecretRule("secret-generic-token", "high",
                r"(?:[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii][_-]?[Kk][Ee][Yy])['\"]?[ \t]*[:=][ \t]*['\"]([^'\" \t\n]{16,})['\"]",
-               1, (), "Secret token", 2),
+               1, ("secret", "token", "key"), "Secret token", 2),
     SecretRule("secret-db-url", "critical",
                r"[A-Za-z][A-Za-z0-9+.-]{1,30}://[^ \t\n:/@'\"]+:[^ \t\n:/@'\"]+@[^ \t\n/'\"]+",
                0, ("://",), "Database address with password", 3),
     SecretRule("secret-private-key", "critical",
                r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----",
-               0, ("-----BEGIN ",), "Private key", 4),
+               0, ("-----BEGIN ",), "Private key", 4,
+               r"-----BEGIN (?:(?!PRIVATE KEY-----)[A-Z0-9]++ )*+PRIVATE KEY-----"),
 )
 
 
 def _may_hold(content: Column, rule: SecretRule) -> Column:
     test = F.lit(not rule.needles)
     for needle in rule.needles:
-        test = test | F.contains(content, F.lit(needle))
-    return test & content.rlike(rule.pattern)
+        test = test | F.contains(F.lower(content) if needle.islower() else content, F.lit(needle))
+    return test & content.rlike(rule.search)
 
 
 def secret_items(rules=SECRET_RULES) -> Column:
@@ -57,7 +64,7 @@ def secret_items(rules=SECRET_RULES) -> Column:
         suspect = test if suspect is None else suspect | test
 
     def of_rule(rule: SecretRule, text: Column, pos: Column) -> Column:
-        found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
+        found = F.regexp_extract_all(text, F.lit(rule.search), F.lit(rule.group))
         return F.transform(found, lambda s, i: F.struct(
             F.lit(rule.ord).alias("rule_ord"), (pos + 1).alias("line"), i.alias("seq"), s.alias("secret")))
 
@@ -70,7 +77,7 @@ def secret_items(rules=SECRET_RULES) -> Column:
 def secret_matches(files: DataFrame, rules=SECRET_RULES) -> DataFrame:
     """``(target_id, path, rule_ord, line, seq, secret)``, unmasked: for the
     report below only."""
-    texts = size_cap(files).filter(is_secret_path(F.col("path")))
+    texts = files.filter(is_secret_path(F.col("path")))
     return texts.select("target_id", "path", F.explode(secret_items(rules)).alias("m")).select("target_id", "path", "m.*")
 
 

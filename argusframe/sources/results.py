@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 FINDING_JSON = """struct<scanner:string,severity:string,category:string,title:string,description:string,file:string,line:int,
 recommendation:string,ruleId:string,cve:string,installedVersion:string,fixedVersion:string>"""
@@ -24,6 +24,14 @@ def read_scan_results(results: DataFrame) -> DataFrame:
     )
 
 
+def read_json_results(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_json_results`` wrote, a row for each target and part."""
+    lines = spark.read.text(path).select(F.from_json("value", "targetId string, part int").alias("id"), F.col("value").alias("json"))
+    keyed = lines.select(F.to_json(F.struct(F.col("id.targetId").alias("t"), F.col("id.part").alias("p"))).alias("target_id"), "json")
+    rows = read_scan_results(keyed).withColumn("id", F.from_json("target_id", "t string, p int"))
+    return rows.select(F.col("id.t").alias("target_id"), F.col("id.p").alias("part"), "score", "grade", "findings", "scanned_files", "duration", "scan_type")
+
+
 def scan_id(target_id, run: str):
     """Repeatable id of a scan: a retried job names it the same."""
     return F.sha2(F.concat_ws("|", target_id, F.lit(run)), 256)

@@ -34,19 +34,8 @@ def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     return spark.createDataFrame(rows, _CATALOG_COLUMNS)
 
 
-def register_rules(source: list[Rule] | DataFrame, unrolled: int = 500) -> list[Rule] | DataFrame:
-    """User rules for a scan. A table of a few hundred rules becomes a list, so
-    that its patterns are literals; a longer one stays a table, which the scan
-    joins by extension."""
-    if not isinstance(source, DataFrame):
-        return number_user_rules(source)
-    rows = source.limit(unrolled + 1).collect()
-    if len(rows) > unrolled:
-        return source
-    by_id: dict[str, Rule] = {}
-    for row in rows:
-        known = by_id.get(row["id"])
-        extensions = (known.extensions if known else ()) + (row["extension"],)
-        by_id[row["id"]] = Rule(row["id"], row["severity"], extensions, row["scope"], row["pattern"], anti=row["anti"],
-                                title=row["title"], description=row["description"], recommendation=row["recommendation"])
-    return number_user_rules(list(by_id.values()))
+def register_rules(source: list[Rule] | DataFrame) -> list[Rule] | DataFrame:
+    """User rules for a scan: a list of ``Rule`` (ECMAScript patterns, unrolled
+    into the scan) or a table of Java patterns (``match_rule_table``). The form
+    decides the dialect, the number of rules decides nothing."""
+    return source if isinstance(source, DataFrame) else number_user_rules(source)

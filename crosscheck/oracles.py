@@ -10,10 +10,11 @@ from argusframe.functions import severity as sev, urls
 from argusframe.functions.regex import SPACE as JAVA_SPACE
 from argusframe.operators import files as fl, web
 from argusframe.operators.rules import AI_RULES, FILE, LINE, RULES, RULES_BY_ID, Rule
+from argusframe.operators.sast import scanned_extensions
 from argusframe.operators.secrets import SECRET_RULES
 from argusframe.plans.documents import MARKDOWN_TAIL
 from crosscheck.inputs import BUILDERS, DUCK, docs as docs_sql, quote
-from crosscheck.queries import QUERIES, REPORT_DATE, USER_RULES
+from crosscheck.queries import MANY, QUERIES, REPORT_DATE, USER_RULES
 
 ORACLES: dict[str, str] = {}
 
@@ -62,13 +63,13 @@ BASE = "list_last(string_split(path, '/'))"
 EXT = f"lower(coalesce(nullif(regexp_extract({BASE}, '^.+([.][^.]*)$', 1), ''), ''))"
 
 
-def walked(kept: str, ignored) -> str:
-    return f"(len({NAMES}) <= 10 AND len(list_filter({NAMES}, lambda x: (starts_with(x, '.') AND NOT ({kept})) OR x IN {in_list(ignored)})) = 0)"
+def walked(kept: str, ignored, depth: int | None = 10) -> str:
+    return f"({f'len({NAMES}) <= {depth} AND ' if depth else ''}len(list_filter({NAMES}, lambda x: (starts_with(x, '.') AND NOT ({kept})) OR x IN {in_list(ignored)})) = 0)"
 
 
 SCANNED = walked("x = '.gitignore'", fl.SCAN_IGNORED)
 COUNTED = f"({walked(chr(115) + 'tarts_with(x, ' + quote('.env') + ')', fl.COUNT_IGNORED)} AND ({EXT} IN {in_list(fl.COUNT_EXTENSIONS)} OR starts_with({BASE}, '.env')))"
-SECRET_FILES = walked("starts_with(x, '.env')", fl.COUNT_IGNORED)
+SECRET_FILES = walked("starts_with(x, '.env')", fl.COUNT_IGNORED, None)
 
 PRUNED = f"SELECT target_id, path, content, {EXT} AS ext FROM files WHERE {SCANNED} AND size_bytes <= 1048576"
 LINES = """SELECT target_id, path, ext, unnest(string_split(content, chr(10))) AS text,
@@ -248,8 +249,11 @@ _NPARTS = "cast(greatest(1, ceil(total / 2000.0)) AS INTEGER)"
 PART_GRID = f"SELECT s.*, {_NPARTS} AS parts, cast(unnest(range(0, {_NPARTS})) AS INTEGER) AS part FROM scores s"
 NUMBERED = f"SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY {EMITTED}) AS n FROM findings WHERE {KNOWN}"
 _SIZES = f"SELECT target_id, {_PART} AS part, count(*) AS c, arg_min(title, n) AS first_title FROM numbered GROUP BY 1, 2"
-ORACLES["write_json_results"] = scored("""SELECT g.target_id, g.part, g.score, g.grade, cast(coalesce(c, 0) AS INTEGER) AS n_findings FROM grid g
-    LEFT JOIN sizes z ON z.target_id = g.target_id AND z.part = g.part""", grid=PART_GRID, numbered=NUMBERED, sizes=_SIZES)
+_DIGESTS = f"""SELECT target_id, {_PART} AS part, count(*) AS c, md5(string_agg(concat_ws('|', severity, title, coalesce(file, ''),
+    coalesce(cast(line AS VARCHAR), ''), coalesce(rule_id, '')), chr(10) ORDER BY n)) AS digest FROM numbered GROUP BY 1, 2"""
+ORACLES["write_json_results"] = scored("""SELECT g.target_id, g.part, g.score, g.grade, g.total AS scanned_files, cast(0.5 AS DOUBLE) AS duration, 'code' AS scan_type,
+    cast(coalesce(c, 0) AS INTEGER) AS n_findings, coalesce(digest, md5('')) AS digest FROM grid g
+    LEFT JOIN sizes z ON z.target_id = g.target_id AND z.part = g.part""", grid=PART_GRID, numbered=NUMBERED, sizes=_DIGESTS)
 ORACLES["result_parts"] = scored("""SELECT g.target_id, g.part, g.score, cast(coalesce(c, 0) AS INTEGER) AS n_findings, first_title FROM grid g
     LEFT JOIN sizes z ON z.target_id = g.target_id AND z.part = g.part""", grid=PART_GRID, numbered=NUMBERED, sizes=_SIZES)
 ORACLES["json_documents"] = scored("""SELECT g.target_id, g.part, g.parts, cast(coalesce(c, 0) + 1 AS INTEGER) AS pieces FROM grid g
@@ -360,6 +364,12 @@ ORACLES["rule_env_not_gitignored"] = with_("SELECT target_id, file, cast(NULL AS
 _HITS = "SELECT target_id, path AS file, line, rule_id FROM hits"
 ORACLES["min_severity_rule_prune"] = with_("SELECT target_id, path AS file, line, h.rule_id FROM hits h JOIN meta m ON m.rule_id = h.rule_id WHERE severity = 'critical'",
                                            "files", **scan_ctes(RULES), meta=RULE_META)
+ORACLES["user_rules_table"] = with_(f"""SELECT target_id, path AS file, min(line) AS line, cast({MANY // 20} AS BIGINT) AS n FROM kept
+    WHERE ext IN ('.js', '.py') AND {matches('text', '^(?:const|import|def)' + chr(92) + 'b')} GROUP BY 1, 2""", "files", **scan_ctes(USER_RULES))
+ORACLES["archive_errors"] = with_("""SELECT DISTINCT target_id, CASE WHEN ends_with(target_id, '3') THEN 'archive' ELSE 'scored' END AS scanner,
+    CASE WHEN ends_with(target_id, '3') THEN 'archive is broken' END AS error FROM archive_members""", "archive_members")
+ORACLES["skipped_files"] = with_(f"""SELECT target_id, 'sast' AS scanner, concat(path, ': over 1048576 bytes, not searched by the code rules') AS error FROM files
+    WHERE size_bytes > 1048576 AND {SCANNED} AND {EXT} IN {in_list(scanned_extensions(RULES))}""", "files")
 ORACLES["user_rules"] = ORACLES["files_join_rules"] = with_(_HITS, "files", **scan_ctes(USER_RULES))
 ORACLES["stream_scan"] = with_(_HITS, "files", **scan_ctes(RULES))
 for _rule in RULES + AI_RULES:
@@ -382,7 +392,7 @@ def secret_hits(rule) -> str:
 
 
 SLINES = """SELECT target_id, path, unnest(string_split(content, chr(10))) AS text, cast(unnest(range(1, len(string_split(content, chr(10))) + 1)) AS INTEGER) AS line FROM sfiles"""
-SFILES = f"SELECT target_id, path, content FROM files WHERE size_bytes <= 1048576 AND {SECRET_FILES}"
+SFILES = f"SELECT target_id, path, content FROM files WHERE {SECRET_FILES}"
 for _name, _rule in zip(("secret_api_keys", "secret_generic_token", "secret_db_url", "secret_private_key"), SECRET_RULES):
     ORACLES[_name] = with_(f"SELECT target_id, file, line, seq, severity, category FROM ({secret_hits(_rule)})", "files", sfiles=SFILES, slines=SLINES)
 ALL_SECRETS = " UNION ALL ".join(secret_hits(r) for r in SECRET_RULES)

@@ -13,6 +13,7 @@ from argusframe.operators.rules import AI_RULES, FILE, LINE, RULES, Rule, number
 from argusframe.plans import documents as docs
 from argusframe.plans.scan import Engine, ScanOptions
 from argusframe.session import ensure_checkpoint_dir
+from argusframe.schema import FILES
 from argusframe.sources import archives, reports as rep, results
 from argusframe.sources.rule_catalog import rules_table
 from argusframe.streaming import scan_stream as st
@@ -26,6 +27,9 @@ RULE_COLUMNS = ["target_id", "file", "line", "rule_id"]
 WEB_COLUMNS = ["target_id", "rule_id", "severity", "category"]
 USER_RULES = number_user_rules([
     Rule("user-total", "low", (".js", ".py"), LINE, r"total\s*=", title="t", description="d", recommendation="r"),
+    Rule("user-start", "low", (".js", ".py"), LINE, r"^(?:const|import|def)\b", title="t", description="d", recommendation="r"),
+    Rule("user-end", "low", (".js", ".ts"), LINE, r"\)$", title="t", description="d", recommendation="r"),
+    Rule("user-gap", "low", (".js", ".ts", ".py"), LINE, r"\)\W+\w", title="t", description="d", recommendation="r"),
     Rule("user-app", "medium", (".ts",), FILE, r"app\.", anti=r"helmet", title="t", description="d", recommendation="r"),
 ])
 
@@ -64,7 +68,21 @@ def _(i):
 
 @query("read_zip_archives")
 def _(i):
-    return archives.unpack_archives(archives.admitted_archives(i.archives("zip")), "zip").select("target_id", "path", "size_bytes", "content")
+    return archives.unpack_archives(i.archives("zip"), "zip", max_bytes=urls.ARCHIVE_MAX_BYTES).select("target_id", "path", "size_bytes", "content")
+
+
+@query("archive_errors")
+def _(i):
+    """Every archive whose name ends in 3 is cut in half."""
+    half = F.expr("substring(content, 1, CAST(octet_length(content) / 2 AS INT))")
+    cut = i.archives("zip").withColumn("content", F.when(F.col("path").rlike("3[.]zip$"), half).otherwise(F.col("content")))
+    engine = Engine(files=archives.unpack_archives(cut, "zip"), options=ScanOptions(deps=False))
+    scored = engine.summary().select("target_id", F.lit("scored").alias("scanner"), F.lit(None).cast("string").alias("error"))
+    return engine.errors().filter("scanner = 'archive'").unionByName(scored)
+
+
+@query("skipped_files")
+def _(i): return Engine(files=_files(i), options=ScanOptions(deps=False)).errors()
 
 
 @query("read_tar_archives")
@@ -130,8 +148,10 @@ def _scored(i: Inputs) -> tuple[DataFrame, DataFrame]:
 def _(i):
     folder = _shared_folder(i.spark, "results")
     docs.write_json_results(*_scored(i), folder, part_rows=2000)
-    back = i.spark.read.schema("target_id string, part int, score int, grade string, findings array<struct<title:string>>").json(folder)
-    return back.select("target_id", "part", "score", "grade", F.size("findings").alias("n_findings"))
+    text = lambda f: F.concat_ws("|", f["severity"], f["title"], F.coalesce(f["file"], F.lit("")), F.coalesce(f["line"].cast("string"), F.lit("")), F.coalesce(f["ruleId"], F.lit("")))
+    return results.read_json_results(i.spark, folder).select(
+        "target_id", "part", "score", "grade", "scanned_files", "duration", "scan_type", F.size("findings").alias("n_findings"),
+        F.md5(F.array_join(F.transform("findings", text), "\n").cast("binary")).alias("digest"))
 
 
 @query("json_documents")
@@ -283,6 +303,17 @@ def _(i):
     return sast.match_rule_table(_files(i), table).select(*RULE_COLUMNS)
 
 
+MANY = 2000
+
+
+@query("user_rules_table")
+def _(i):
+    """A table of a few thousand rules; one in twenty looks for a word of its own number."""
+    rule = [(f"many-{k}", "low", ext, LINE, rf"\bitem{k}\b" if k % 20 else r"^(?:const|import|def)\b", None, "t", "d", "r") for k in range(MANY) for ext in (".js", ".py")]
+    table = i.spark.createDataFrame(rule, "id string, severity string, extension string, scope string, pattern string, anti string, title string, description string, recommendation string")
+    return sast.match_rule_table(_files(i), table).groupBy("target_id", "file", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _rule_query(rule: Rule) -> Query:
     return lambda spark, sf_dir: sast.scan_sources(_files(Inputs(spark, sf_dir)), [rule]).select(*RULE_COLUMNS)
 
@@ -593,9 +624,10 @@ def _(i):
     """Archives land in a folder; scores per archive as batches arrive."""
     source, out, state = (_shared_folder(i.spark, x) for x in ("archives", "scores", "state"))
     members = i.derive("archive_members").withColumn("size_bytes", F.col("size_bytes").cast("bigint"))
-    members.repartition(4, "target_id").write.parquet(source)
-    st.start_scores(st.stream_files(i.spark, source), out, state, ScanOptions(deps=False)).awaitTermination()
-    return i.spark.read.parquet(out).select("target_id", "score", "total", "scanned_files")
+    members.repartition(4, "path").write.parquet(source)
+    files = i.spark.readStream.schema(FILES).option("maxFilesPerTrigger", 2).parquet(source)  # targets are spread over the batches
+    st.start_scores(files, out, state, ScanOptions(deps=False)).awaitTermination()
+    return st.read_scores(i.spark, out, ScanOptions(deps=False)).select("target_id", "score", "total", "scanned_files")
 
 
 @query("stream_admission")

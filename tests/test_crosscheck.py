@@ -4,6 +4,7 @@ part by default; all of them with CROSSCHECK=all."""
 from __future__ import annotations
 
 import os
+import re
 from pathlib import Path
 
 import duckdb
@@ -39,7 +40,8 @@ def test_same_rows(spark, duck, name):
 
 
 def test_every_query_but_few_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) <= {"full_scan"}
+    own = {name for name in entry.queries() if name != "pipeline" and not re.match(r"op\d+_", name)}  # the corpus queries have tests of their own
+    assert own - set(entry.oracle_sql()) <= {"full_scan"}
 
 
 def test_entry(spark):

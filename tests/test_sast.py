@@ -137,8 +137,8 @@ def test_user_rules(spark, make_files):
                                              F.lit("").alias("description"), F.lit("").alias("recommendation"))
     joined = rows(match_rule_table(f, table), "file", "line", "rule_id")
     assert joined == [("a.rb", 2, "puts"), ("a.rb", None, "whole")]
-    assert [r.id for r in register_rules(table)] == ["puts", "whole"]
-    assert register_rules(table, unrolled=1) is table
+    assert register_rules(table) is table and [r.id for r in register_rules(rules)] == ["puts", "whole"]
+    assert rows(scan_sources(f, rules), "file", "line", "rule_id", "rule_ord", "description") == rows(match_rule_table(f, table), "file", "line", "rule_id", "rule_ord", "description")
     for bad in (Rule("x", "info", (), LINE, "a"), Rule("x", "low", (), "word", "a"), Rule("x", "low", (".a",), LINE, "(")):
         with pytest.raises(ValueError):
             check_rules([bad])
@@ -155,3 +155,29 @@ def test_scan_stage_has_no_shuffle_and_reads_needed_columns(spark, tmp_path, mak
 
 def test_env_rule_is_special():
     assert RULES_BY_ID["env-not-gitignored"].scope not in (LINE, FILE)
+
+
+PIECES = ["^", "$", r"\W", r"\D", r"\b", r"\s", "a", "b", "1", r"[^a]", r"[\W1]", ".", "(?:a|b)", " "]
+
+
+def test_user_line_rules_unrolled_equal_the_table(spark, make_files):
+    """Generated patterns with anchors and negated classes: whole-text search, table and plain matching line by line agree."""
+    import random
+    rng = random.Random(9)
+    patterns = ["".join(rng.choice(PIECES) for _ in range(rng.randint(2, 4))) + rng.choice(["a", "b", "1", "$", r"\W"]) for _ in range(90)]
+    rules = number_user_rules([Rule(f"r{k}", "low", (".rb",), LINE, p) for k, p in enumerate(patterns) if not re.search(p.replace("$", r"\Z"), "")])
+    with pytest.raises(ValueError):
+        number_user_rules([Rule("empty", "low", (".rb",), LINE, "^a*$")])
+    texts = ["".join(rng.choice(["a", "b", "1", " ", "\n", "\n", "-"]) for _ in range(rng.randint(1, 30))) for _ in range(40)]
+    f = make_files([("t", f"f{k}.rb", t) for k, t in enumerate(texts)])
+    table = rules_table(spark, rules).select(F.col("rule_id").alias("id"), "severity", "extension", "scope", "pattern", "anti", "title", F.lit("").alias("description"), F.lit("").alias("recommendation"))
+    plain = []
+    for k, text in enumerate(texts):
+        for rule in rules:
+            for n, line in enumerate(text.split("\n"), 1):
+                if re.search(rule.pattern.replace("$", r"\Z"), line):
+                    if line or not re.search(rule.pattern.replace("$", r"\Z"), ""):
+                        plain.append((f"f{k}.rb", n, rule.id))
+                        break
+    assert rows(match_rule_table(f, table), "file", "line", "rule_id") == rows(scan_sources(f, rules), "file", "line", "rule_id")
+    assert rows(scan_sources(f, rules), "file", "line", "rule_id") == sorted(plain, key=repr)
