@@ -37,7 +37,7 @@ def _with_scheme(text: Column) -> Column:
 
 
 # scheme, slashes, optional user part, host, optional port, then path, query or end
-_ADDRESS = r"(?i)^https?:[/\\]*(?:[^/\\?#]*@)?([^/\\?#:@\s<>^|%\[\]]+|\[[0-9a-f:.]+\])(?::([0-9]*))?(?:([/\\][^?#]*)|[?#]|\z)"
+_ADDRESS = r"(?i)^https?:[/\\]*(?:[^/\\?#]*@)?((?:[^/\\?#:@\s<>^|%\[\]]|%[0-9a-f]{2})+|\[[0-9a-f:.]+\])(?::([0-9]*))?(?:([/\\][^?#]*)|[?#]|\z)"
 
 
 def url_host(url: Column) -> Column:
@@ -46,7 +46,33 @@ def url_host(url: Column) -> Column:
     host = F.regexp_extract(url, _ADDRESS, 1)
     port = F.regexp_extract(url, _ADDRESS, 2)
     usable = (host != "") & F.coalesce((port == "") | (port.try_cast("decimal(38,0)") <= 65535), F.lit(False))
-    return F.when(usable, F.lower(host))
+    return F.when(usable, _canonical_host(F.lower(host)))
+
+
+def _canonical_host(host: Column) -> Column:
+    """``host`` with percent codes decoded and, where its last part is a number,
+    as four decimal parts: ``127.1``, ``2130706433`` and ``0x7f.0.0.1`` are all
+    ``127.0.0.1``. Null where that is no host."""
+    plain = F.when(F.contains(host, F.lit("%")), F.lower(F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B"))))).otherwise(host)
+    plain = F.when(~plain.rlike(r"[/\\?#:@\s<>^|%]") | F.startswith(plain, F.lit("[")), plain)
+    parts = F.split(F.regexp_replace(plain, r"\.\z", ""), r"\.")
+
+    def number(part: Column) -> Column:
+        digits = F.when(part.rlike(r"^0x[0-9a-f]*$"), F.conv(F.concat(F.lit("0"), F.substr(part, F.lit(3))), 16, 10)) \
+            .when(part.rlike(r"^0[0-7]+$"), F.conv(part, 8, 10)).when(part.rlike(r"^(?:0|[1-9][0-9]*)$"), part)
+        return digits.try_cast("bigint")
+
+    def dotted(values: Column) -> Column:
+        n = F.size(values)
+        last = F.element_at(values, -1)
+        head = F.slice(values, F.lit(1), n - 1)
+        fits = (n <= 4) & ~F.exists(values, lambda v: v.isNull()) & F.forall(head, lambda v: v <= 255) & (last < F.pow(F.lit(256), 5 - n))
+        total = F.aggregate(F.transform(head, lambda v, i: v * F.pow(F.lit(256), 3 - i).cast("bigint")), last, lambda a, v: a + v)
+        bytes_ = [F.shiftright(total, bits).bitwiseAND(F.lit(255)).cast("string") for bits in (24, 16, 8, 0)]
+        return F.when(fits, F.concat_ws(".", *bytes_))
+
+    is_number = F.element_at(parts, -1).rlike(r"^(?:[0-9]+|0x[0-9a-f]*)$")
+    return F.when(is_number, F.get(F.transform(F.array(F.transform(parts, number)), dotted), F.lit(0))).otherwise(plain)
 
 
 def url_path(url: Column) -> Column:

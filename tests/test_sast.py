@@ -7,6 +7,7 @@ from conftest import rows
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from argusframe.functions.regex import java_pattern
 from argusframe.operators.rules import AI_RULES, FILE, LINE, RULES, RULES_BY_ID, Rule, check_rules, number_user_rules, prune_rules
 from argusframe.operators.sast import env_not_ignored, first_match_per_file, line_matches, match_rule_table, rule_hits, scan_sources
 from argusframe.sources.rule_catalog import parse_user_rules, register_rules, rules_table
@@ -181,3 +182,27 @@ def test_user_line_rules_unrolled_equal_the_table(spark, make_files):
                         break
     assert rows(match_rule_table(f, table), "file", "line", "rule_id") == rows(scan_sources(f, rules), "file", "line", "rule_id")
     assert rows(scan_sources(f, rules), "file", "line", "rule_id") == sorted(plain, key=repr)
+
+
+def test_patterns_take_linear_time_and_hit_the_same_lines(spark, make_files):
+    """Lines that made the plain patterns quadratic, 256 KB each, within seconds; and equality with the plain patterns on generated lines."""
+    import random
+    import time
+    hostile = ["a == 1;" + "req.a;" * 40_000, "stat(a;" * 36_000, "exec(" * 50_000, "console.log(a " * 18_000, "new RegExp(" * 23_000, "subprocess.run(" * 17_000, "-----BEGIN " + "AB " * 80_000]
+    f = make_files([("t", f"f{k}{e}", text) for k, text in enumerate(hostile) for e in (".js", ".py")])
+    started = time.time()
+    scan_sources(f).count()
+    assert time.time() - started < 60
+    rng = random.Random(12)
+    names = ["stat", "exec", "fetch", "sendFile", "Object.assign", "new RegExp", "console.log", "subprocess.run", "jwt.sign", "yaml.load"]
+    scraps = [*names, "(", "(", ")", "req.", "body.", "${", "==", "===", "x", " ", " ", "'abc'", "{", "}", "schema: yaml.DEFAULT_SCHEMA", "shell = True", "password", ";", "=1"]
+    lines = ["".join(rng.choice(scraps) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    f = make_files([("t", f"g{k}{e}", text) for k, text in enumerate(lines) for e in (".js", ".py")])
+    got = {(r.file, r.rule_id) for r in scan_sources(f).collect()}
+    checked = [r for r in RULES if r.java != java_pattern(r.pattern, r.ignore_case, single_line=True) and r.scope == LINE]
+    assert len(checked) == 11
+    for rule in checked:
+        plain = re.compile(rule.pattern, re.I if rule.ignore_case else 0)
+        expected = {(f"g{k}{e}", rule.id) for k, text in enumerate(lines) for e in (".js", ".py") if e in rule.extensions and plain.search(text)}
+        skipped = {(f"g{k}{e}", rule.id) for k, text in enumerate(lines) for e in (".js", ".py") if text.lstrip().startswith(("*", "//", "/*"))}
+        assert {x for x in got if x[1] == rule.id} - skipped == expected - skipped

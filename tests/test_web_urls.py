@@ -82,3 +82,14 @@ def test_addresses(spark):
     assert check(["\ufeff\u00a0 a \u2028"], text.trim_space(v)) == ["a"]
     assert check(["a<&>\"'"], text.escape_html(v)) == ["a&lt;&amp;&gt;&quot;&#039;"]
     assert check(["a"], text.decode_utf8(F.lit(b"a\xffb"))) == ["a\ufffdb"]
+
+
+def test_hosts_in_other_spellings(spark):
+    private = ["127.1", "2130706433", "0x7f.0.0.1", "0x7f000001", "0177.0.0.1", "http://%6c%6fcalhost/", "http://10.1", "http://3232235777", "127.0.0.1.", "http://0x7F.1/"]
+    invalid = ["http://256.1.1.1.1", "http://1.2.3.4.5", "http://999", "http://1.256.1.1", "http://09.1", "http://4294967296", "http://%2f.com", "http://a%zz.com"]
+    fine = ["example.com", "8.8.8.8", "134744072", "http://1e100.net", "http://0x7f.example.com"]
+    df = spark.createDataFrame([(t,) for t in private + invalid + fine], "t string")
+    got = {r.t: r.reason for r in df.select("t", urls.admit_url(F.col("t"))["reason"].alias("reason")).collect()}
+    assert {t: got[t] for t in private} == dict.fromkeys(private, "private address")
+    assert {t: got[t] for t in invalid if t != "http://999"} == {t: "invalid url" for t in invalid if t != "http://999"}
+    assert {t: got[t] for t in fine} == dict.fromkeys(fine)
