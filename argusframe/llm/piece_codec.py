@@ -15,6 +15,8 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import sys
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -31,7 +33,7 @@ _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 class PieceCodec:
     """Encoder and decoder of one model file; ``limit`` bounds each cache."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 600_000):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.limit, self.bos, self.eos = limit, model.bos_id(), model.eos_id()
         self.bytes, self.ids, self.scores, self.raw_byte = [], {}, {}, {}
@@ -53,7 +55,9 @@ class PieceCodec:
         self.machine.make_automaton()
         if any(MARK in p.lstrip(MARK) for p in self.ids) or any(c not in self.ids for p in self.ids for c in p):
             raise ValueError("cutting at space marks and unknown characters needs pieces that don't cross them")
-        joined = {p[k + 1] for p in self.ids for k in range(len(p) - 1) if re.match(f"[{_LETTERS}]", p[k])}
+        self.letters = frozenset(c for c in self.ids if re.fullmatch(f"[{_LETTERS}]", c))
+        self.known = re.compile("[" + "".join(re.escape(c) for c in self.ids if len(c) == 1) + "]+")
+        joined = {p[k + 1] for p in self.ids for k in range(len(p) - 1) if p[k] in self.letters}
         self.tail = "".join(c for c in ".,;:!?|*$%&#" if c not in joined)
         self.cache: dict[str, bytes | None] = {}
         self.short: dict[str, bytes] = {}
@@ -86,44 +90,46 @@ class PieceCodec:
         i = self.ids.get(text)
         if i is not None and (len(text) == 1 or self.merged(text) == [i]):
             return [i]
-        found: list[list[tuple[int, int]]] = [[] for _ in text]
-        for end, (size, i) in self.machine.iter(text):
-            found[end - size + 1].append((size, i))
-        failed, size = 0, len(text)
+        size = len(text)
+        found: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]
+        for end, match in self.machine.iter(text):
+            found[end - match[0] + 1].append(match)
+        failed, fits = 0, self.fits
         path: list[tuple[int, int, int]] = []  # start, piece, choices left
-        start, choice = 0, len(found[0])
+        start, choice, last = 0, len(found[0]), -1
         while start < size:
-            options, last = found[start], path[-1][1] if path else -1
+            options = found[start]
             while choice:
                 choice -= 1
                 length, i = options[choice]
-                if not failed >> (start + length) & 1 and (last < 0 or self.compatible(last, i)):
-                    path.append((start, i, choice))
-                    start += length
-                    choice = len(found[start]) if start < size else 0
-                    break
+                if failed >> (start + length) & 1:
+                    continue
+                if last >= 0:
+                    fit = fits.get(last << 32 | i)
+                    if not (self.compatible(last, i) if fit is None else fit):
+                        continue
+                path.append((start, i, choice))
+                start += length
+                choice, last = len(found[start]), i
+                break
             else:
                 failed |= 1 << start
                 if not path:
                     return self.merged(text)
                 start, _, choice = path.pop()
+                last = path[-1][1] if path else -1
         return [i for _, i, _ in path]
 
     def _string(self, text: str) -> bytes:
         """Ids of a string without cuts known beforehand, as little-endian 32-bit integers."""
         out: list[int] = []
-        known = ""
-        for c in text:
-            if c in self.ids:
-                known += c
-                continue
-            if known:
-                out += self.backtrack(known)
-                known = ""
-            out += [self.raw_byte[b] for b in c.encode()]
-        if known:
-            out += self.backtrack(known)
-        return struct.pack(f"<{len(out)}I", *out)
+        at = 0
+        for known in self.known.finditer(text):
+            out += [self.raw_byte[b] for b in text[at:known.start()].encode()]
+            out += self.backtrack(known.group())
+            at = known.end()
+        out += [self.raw_byte[b] for b in text[at:].encode()]
+        return array("I", out).tobytes() if sys.byteorder == "little" else struct.pack(f"<{len(out)}I", *out)
 
     def _cached(self, text: str) -> bytes:
         ids = self.short.get(text)
@@ -136,7 +142,7 @@ class PieceCodec:
     def _chunk(self, text: str) -> bytes:
         """Ids of a string that ends where no piece reaches across; marks after its last letter are cut off."""
         body = text.rstrip(self.tail)
-        if body and len(body) < len(text) and re.match(f"[{_LETTERS}]", body[-1]):
+        if body and len(body) < len(text) and body[-1] in self.letters:
             return self._cached(body) + self._cached(text[len(body):])
         return self._cached(text)
 
