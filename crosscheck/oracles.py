@@ -547,5 +547,26 @@ _UNION = f"""SELECT target_id, 'sast' AS scanner, severity FROM ({_CODE_FOUND})
     UNION ALL {" UNION ALL ".join(f"SELECT target_id, 'web' AS scanner, {quote(s)} AS severity FROM main_pages WHERE {t}" for t, s, _ in _CORS.values())}"""
 ORACLES["union_scanners"] = with_(f"SELECT target_id, scanner, severity, count(*) AS n FROM ({_UNION}) GROUP BY ALL", "files", "exchanges", **scan_ctes(RULES), meta=RULE_META, env=ENV,
                                   root=_ROOT, found=_ROOT_FOUND, sfiles=SFILES, slines=SLINES, main_pages=MAIN)
+_ALL_FILES = "SELECT target_id, path, size_bytes, content FROM files UNION ALL SELECT target_id, path, size_bytes, content FROM manifests"
+_FULL = f"""SELECT target_id, category, severity FROM ({_CODE_FOUND})
+    UNION ALL SELECT target_id, 'code' AS category, {SEMGREP_SEV} AS severity FROM (
+      SELECT *, row_number() OVER (PARTITION BY target_id, file, nullif(raw_line, 0), coalesce(nullif(check_id, ''), 'Code issue') ORDER BY seq) AS rn FROM sem) WHERE rn = 1
+    UNION ALL SELECT target_id, category, severity FROM secret_rows
+    UNION ALL SELECT t.target_id, 'dependency' AS category, {TRIVY_SEV} AS severity FROM tri t JOIN best b ON b.target_id = t.target_id AND b.best = 1
+    UNION ALL SELECT n.target_id, 'dependency' AS category, {NPM_SEV} AS severity FROM npm n JOIN best b ON b.target_id = n.target_id AND b.best = 2
+    UNION ALL SELECT target_id, 'dependency' AS category, CASE WHEN rule_id = 'unpinned-python' THEN 'low' ELSE 'medium' END AS severity
+      FROM ({_BUILT_IN}) WHERE target_id NOT IN (SELECT target_id FROM best)
+    UNION ALL SELECT target_id, 'dependency' AS category, CASE WHEN rule_id = 'unpinned-python' THEN 'low' ELSE 'medium' END AS severity FROM root_found
+    UNION ALL SELECT target_id, category, severity FROM web_found WHERE target_id IN (SELECT target_id FROM main_pages)"""
+ORACLES["full_scan"] = with_(
+    f"""SELECT s.target_id, t.scan_type, s.score, s.grade, s.total, cast(CASE WHEN t.scan_type = 'web' THEN 0 ELSE coalesce(c.scanned_files, 0) END AS BIGINT) AS scanned_files
+    FROM scores s JOIN all_targets t ON t.target_id = s.target_id
+    LEFT JOIN (SELECT target_id, count(*) FILTER (WHERE {COUNTED}) AS scanned_files FROM all_files GROUP BY target_id) c ON c.target_id = s.target_id""",
+    "files", "items", "manifests", "reports", "exchanges", **scan_ctes(RULES), meta=RULE_META, env=ENV, sem=SEMGREP, all_files=_ALL_FILES,
+    sfiles=f"SELECT target_id, path, content FROM all_files WHERE {SECRET_FILES}", slines=SLINES, secret_rows=f"SELECT target_id, category, severity FROM ({ALL_SECRETS})",
+    d=DEPS, nolock=NO_LOCK, reqs=REQS, loose=LOOSE_PY, best=BEST, tri=TRIVY_RAW, npm=NPM, root=_ROOT, root_found=_ROOT_FOUND, **WEB_CTES,
+    all_targets="""SELECT target_id, min(scan_type) AS scan_type FROM (SELECT target_id, 'code' AS scan_type FROM all_files
+      UNION ALL SELECT target_id, 'web' AS scan_type FROM exchanges WHERE target_id NOT IN (SELECT target_id FROM exchanges WHERE kind = 'main' AND status IS NULL)) GROUP BY target_id""",
+    **scored_ctes(_FULL, "SELECT target_id FROM all_targets"))
 
 assert set(ORACLES) <= set(QUERIES), sorted(set(ORACLES) - set(QUERIES))
