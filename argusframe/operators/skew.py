@@ -22,14 +22,6 @@ def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str
     return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
 
 
-def spread_splits(scan: DataFrame) -> DataFrame:
-    """Give a small table scan as many partitions as there are cores. Texts
-    cost far more to search than to move, and a small file has one split; a
-    table with enough splits is left as it is."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
-
-
 def number_rows(df: DataFrame, group: str, order: Sequence[Column | str], number: str = "n",
                 ranges: int | None = None, per_group: DataFrame | None = None) -> DataFrame:
     """Number the rows of each group from 1 in the given order, without ever

@@ -22,6 +22,7 @@ def build_session(app_name: str = "argusframe", master: str | None = None, **con
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.files.maxPartitionBytes": "64m",
         "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():

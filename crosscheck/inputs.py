@@ -8,7 +8,6 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from argusframe.operators.skew import spread_splits
 from argusframe.sources.tables import lower_header_names
 from crosscheck.snippets import SNIPPETS
 
@@ -311,12 +310,13 @@ class Inputs:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        """A driver table; the look at its schema and splits is kept."""
+        """A driver table; the look at its schema and splits is kept. The test
+        tables are single small files, so their texts are dealt out to all cores here."""
         path = str(Path(self.sf_dir) / f"{name}.parquet")
         key = (self.spark.sparkContext.applicationId, path)
         if key not in _TABLES:
             scan = self.spark.read.parquet(path)
-            _TABLES[key] = scan.schema, spread_splits(scan) is not scan
+            _TABLES[key] = scan.schema, scan.rdd.getNumPartitions() < self.spark.sparkContext.defaultParallelism
         schema, few = _TABLES[key]
         scan = self.spark.read.schema(schema).parquet(path)
         return scan.repartition(self.spark.sparkContext.defaultParallelism) if few and name in _TEXT_TABLES else scan
