@@ -4,20 +4,20 @@
 number of digits). The patterns are those of the rule with possessive repeats and starts only at the edge of a run,
 which finds the same matches without backtracking.
 
-*Disclosure.* Each found value is a protected entity e. Words near it are candidate terms t. Over the whole corpus
-it is counted in how many documents e occurs, t occurs, and both meet. The information that t gives about e, log2(P(e|t) / P(e)),
-is held against all there is to know about e, log2(1 / P(e)). A term that gives away at least
-``disclosure`` of it, on the evidence of at least ``support`` documents, is a further span and is generalised in the text.
+*Disclosure.* Each found value is a protected entity e, and every run of letters, marks and digits that touches no base span is a
+candidate term t of its document. Over the whole corpus it is counted in how many documents e occurs, t occurs, and both meet, wherever they
+are in the texts. The information that t gives about e, log2(P(e|t) / P(e)), is held against all there is to know about e, log2(1 / P(e)).
+A term that gives away at least ``disclosure`` of it, on the evidence of at least ``support`` documents, is a further span and is
+generalised wherever it is in the documents that hold e. Texts without an entity stay as they are.
 
-Document frequencies are counted for terms that can matter only: these mark buckets in a table of at most
-``BUCKETS`` rows, which is small enough to broadcast at any size of the corpus; the exact term is the key after that.
+Entities of fewer than ``support`` documents can meet no term often enough, so only the others are paired with the terms of their documents.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from argusframe.llm.common import store
@@ -37,16 +37,13 @@ HINTS = {
     "card": r"{t} RLIKE r'[0-9](?:[\x20-]?[0-9]){{11}}'",
     "phone": "contains({t}, '+')",
 }
-TERM = r"(?<=\s)\p{L}{4,64}+(?=[\s,.;:!?])"
-WORD = r"\p{L}{4,}+"
-BUCKETS = 1 << 18
+TERM = r"[\p{L}\p{M}\p{N}]++"
 
 
 @dataclass(frozen=True)
 class SanitizeParams:
-    """``reach``: characters on each side of an entity in which its terms are."""
+    """``support``: documents in which an entity and its term meet at the least; ``disclosure``: share of what there is to know."""
 
-    reach: int = 48
     support: int = 2
     disclosure: float = 0.8
 
@@ -87,14 +84,30 @@ def base_spans(text: str) -> Column:
     return F.expr(f"array_sort(concat({', '.join(each)}))")
 
 
-def _candidates(p: SanitizeParams) -> Column:
-    """Terms near each base span: (e: entity, t: term, s, f: its place), none that touches a base span."""
-    padded, r = "concat(' ', text, ' ')", p.reach
-    before = spans_of(f"substring({padded}, greatest(1, b.s + 2 - {r}), least({r}, b.s + 1))", TERM)
-    after = spans_of(f"substring({padded}, b.e + 2, {r})", TERM)
-    row = "named_struct('e', xxhash64(b.o, IF(b.o = 0, lower(b.v), regexp_replace(b.v, '[^0-9.]', ''))), 't', lower(x.v), 's', x.s + {o}, 'f', x.e + {o})"
-    both = f"""concat(transform({before}, x -> {row.format(o=f'greatest(0, b.s + 1 - {r}) - 1')}), transform({after}, x -> {row.format(o='b.e')}))"""
-    return F.expr(f"filter(flatten(transform(base, b -> {both})), x -> NOT exists(base, b -> x.s < b.e AND x.f > b.s))")
+def _blanked() -> Column:
+    """The text with as many blanks in place of its base spans, so that what is left keeps its places."""
+    return F.expr("""IF(size(base) = 0, text, aggregate(base, named_struct('at', 0, 'out', ''), (a, x) -> IF(x.e <= a.at, a, named_struct('at', x.e,
+      'out', concat(a.out, substring(text, a.at + 1, greatest(0, x.s - a.at)), repeat(' ', x.e - greatest(a.at, x.s))))), a -> concat(a.out, substring(text, a.at + 1))))""")
+
+
+def _entities() -> Column:
+    """Distinct fingerprints of the protected values of a text."""
+    return F.expr("array_distinct(transform(base, b -> xxhash64(b.o, IF(b.o = 0, lower(b.v), regexp_replace(b.v, '[^0-9.]', '')))))")
+
+
+def _terms() -> Column:
+    """Distinct terms of a text without its base spans."""
+    return F.expr(f"array_distinct(transform(regexp_extract_all(plain, r'{TERM}', 0), v -> lower(v)))")
+
+
+def _places(holders: DataFrame) -> DataFrame:
+    """(key, es, t, s, f): each place of a term; sums over the row of terms and gaps, as arrays would be copied for each term."""
+    runs = holders.select("key", "es", F.expr(f"regexp_extract_all(plain, r'{TERM}', 0)").alias("v"), F.expr(f"split(plain, r'{TERM}', -1)").alias("g"))
+    runs = runs.select("key", "es", F.arrays_zip("v", "g").alias("runs"))
+    runs = runs.select("key", "es", F.posexplode("runs").alias("i", "x")).filter("x.v IS NOT NULL")
+    runs = runs.select("key", "es", "i", F.expr("lower(x.v)").alias("t"), F.expr("char_length(x.v)").alias("n"), F.expr("char_length(x.g)").alias("gap"))
+    end = F.sum(F.col("gap") + F.col("n")).over(Window.partitionBy("key").orderBy("i")).cast("int")
+    return runs.withColumn("f", end).select("key", "es", "t", (F.col("f") - F.col("n")).alias("s"), "f")
 
 
 def _printed(spans: str) -> str:
@@ -106,21 +119,21 @@ def detect(docs: DataFrame, params: SanitizeParams | None = None) -> DataFrame:
     """(doc_id, key, base, spans) for each row of ``docs``: base spans, and all spans with those of revealing terms."""
     p = params or SanitizeParams()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text", base_spans("text").alias("base"))
-    found = store(found.select("doc_id", "key", "base", F.when(F.size("base") > 0, _candidates(p)).alias("near")), "detected")
-
-    near = found.filter("size(near) > 0").select("key", F.inline("near"))
-    meet = near.select("key", "e", "t").distinct().groupBy("e", "t").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= p.support)
-    meet = store(meet, "meet")
-    held = found.filter("size(base) > 0 AND size(near) > 0").select("key", F.explode("near.e").alias("e")).distinct().groupBy("e").agg(F.count("*").alias("n_e"))
-    marked = meet.select(F.pmod(F.xxhash64("t"), F.lit(BUCKETS)).alias("bucket")).distinct()  # at most BUCKETS rows
-    words = texts.select(F.explode(F.array_distinct(F.expr(rf"regexp_extract_all(lower(text), r'{WORD}', 0)"))).alias("t"))
-    words = words.withColumn("bucket", F.pmod(F.xxhash64("t"), F.lit(BUCKETS))).join(F.broadcast(marked), "bucket", "left_semi")
-    seen = words.groupBy("t").agg(F.count("*").alias("n_t"))
+    spotted = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text", base_spans("text").alias("base"))
+    found = store(spotted.select("doc_id", "key", "base", F.when(F.size("base") > 0, _blanked()).alias("plain")), "detected")
+
+    own = found.filter("size(base) > 0").select("key", F.explode(_entities()).alias("e")).distinct()
+    held = store(own.groupBy("e").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= p.support), "held")
+    known = own.join(held, "e").groupBy("key").agg(F.collect_list("e").alias("es"))
+    holders = store(found.filter("size(base) > 0").select("key", "plain").dropDuplicates(["key"]).join(known, "key"), "holders")
+    met = holders.select("es", F.explode(_terms()).alias("t")).select("t", F.explode("es").alias("e"))
+    meet = met.groupBy("e", "t").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= p.support)
+    seen = spotted.select(_blanked().alias("plain")).select(F.explode(_terms()).alias("t")).groupBy("t").agg(F.count("*").alias("n_t")).filter(F.col("n_t") >= p.support)
     total = F.lit(float(max(1, found.count())))
     gain = F.log2(total * F.col("n_et") / (F.greatest("n_t", "n_et") * F.col("n_e")))
     reveals = meet.join(seen, "t").join(held, "e").filter(gain >= p.disclosure * F.log2(total / F.least(total / 2, F.col("n_e")))).select("e", "t")
-    terms = near.join(reveals, ["e", "t"]).groupBy("key").agg(F.collect_set(F.expr(f"named_struct('s', s, 'o', {len(PATTERNS)}, 'e', f, 'v', t)")).alias("terms"))
+    places = _places(holders).select("key", "t", "s", "f", F.explode("es").alias("e")).join(reveals, ["e", "t"])
+    terms = places.groupBy("key").agg(F.collect_set(F.expr(f"named_struct('s', s, 'o', {len(PATTERNS)}, 'e', f, 'v', t)")).alias("terms"))
     return found.join(terms, "key", "left").select("doc_id", "key", "base", F.expr("array_sort(concat(base, coalesce(terms, array())))").alias("spans"))
 
 

@@ -214,6 +214,21 @@ def test_terms_that_give_an_entity_away(spark):
     assert got[200] == "" and "term" not in got[201]
 
 
+def test_terms_count_and_go_over_whole_documents(spark):
+    far = " and so it goes" * 12
+    rows = [(k, f"notes on rivers number{k} and so it goes") for k in range(60)]
+    rows += [(100 + k, f"(Wu-Li) met\tQuillfeather.{far} q@mail.example.com{far} quillfeather's boat {k}, Li") for k in range(3)]
+    rows += [(200, "Quillfeather far from any address"), (300, "mail8 q@mail.example.com")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.spans for r in sanitize_digests(docs).collect()}
+    text = rows[60][1]
+    places = {(int(s), int(e)) for kind, s, e in (x.split(":") for x in got[100].split(",")) if kind == "term"}
+    assert {text[s:e] for s, e in places} == {"Wu", "Li", "met", "Quillfeather", "quillfeather", "s", "boat"}
+    assert sorted(s for s, e in places if text[s:e] == "Li") == [m.start() for m in re.finditer("Li", text)]
+    cleaned = {r.doc_id: r.text for r in sanitize(docs).collect()}
+    assert "feather" not in cleaned[101].lower() and "[EMAIL]" in cleaned[101] and "term" not in got[300]
+
+
 def test_sketches(spark, odd_documents, odd_rows, no_documents):
     got = document_fingerprints(odd_documents).collect()
     assert len(got) == len(odd_rows)
