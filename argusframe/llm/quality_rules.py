@@ -3,7 +3,9 @@
 Two histograms of a document, over classes of characters and over common words,
 are held against those of its language by the Jensen-Shannon distance (square
 root of the divergence in bits, 0 to 1). The references are sums over all
-documents of the language that pass the base rules; nothing is sampled. Short
+documents of the language that pass the base rules; nothing is sampled. Each
+language (and script, where the code names one) has its own reference, and where
+the language is not known only the base rules judge. Short
 documents say little about a distribution, so each distance counts only from a
 minimum length on.
 
@@ -77,9 +79,16 @@ def _word_keys() -> tuple[np.ndarray, np.ndarray]:
 _KEYS, _NUMBER = _word_keys()
 
 
+#: Codes that name no language: undetermined, several, not coded, no linguistic content.
+NO_LANGUAGE = ("und", "mul", "mis", "zxx")
+
+
 def language(code: str | None) -> str:
-    """Two or three small letters, or "und": so there are at most 26**2 + 26**3 + 1 references."""
-    return code if code and re.fullmatch("[a-z]{2,3}", code) else "und"
+    """The language of a code in any spelling (en-US, EN, zh_Hant, en_GB.UTF-8): its primary part and its script in small letters, "" if not known."""
+    parts = re.split("[-_.@]", (code or "").strip().lower())
+    if not re.fullmatch("[a-z]{2,3}", parts[0]) or parts[0] in NO_LANGUAGE:
+        return ""
+    return "-".join([parts[0], *(x for x in parts[1:2] if re.fullmatch("[a-z]{4}", x))])
 
 
 def measure(s: Slice) -> dict[str, np.ndarray]:
@@ -153,7 +162,7 @@ def references(docs: DataFrame, limits: QualityLimits) -> dict[str, tuple[np.nda
                 both = np.concatenate([m["chars"], m["common"]], 1)
                 good = ~_base_failed(m, limits)
                 own = np.array([language(x) for x in langs[s.first:s.first + s.n]])
-                for code in np.unique(own[good]):
+                for code in np.unique(own[good & (own != "")]):
                     totals[code] = totals.get(code, 0) + both[good & (own == code)].sum(0)
         if totals:
             yield pa.RecordBatch.from_pydict({"lang": list(totals), "counts": [x.tolist() for x in totals.values()]},
@@ -187,7 +196,8 @@ def _verdicts(batch: pa.RecordBatch, limits: QualityLimits, known: dict) -> Iter
 def quality_rules(docs: DataFrame, limits: QualityLimits | None = None) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept) for each row of ``docs``.
 
-    Null or blank texts have no words and fail the base; a null or odd language code counts as "und";
+    Null or blank texts have no words and fail the base; where the language code is null or names no
+    language the distances are 0 and only the base rules judge;
     repeated rows are judged one by one and alike; an empty table gives an empty result; columns other than
     doc_id, text and lang are not looked at.
     """

@@ -162,6 +162,25 @@ def test_odd_distributions_are_rejected(spark):
     assert all(kept[k] for k in range(60)) and not kept[900] and not kept[901]
 
 
+def test_languages_in_any_spelling_have_references_of_their_own(spark):
+    rng = random.Random(4)
+    fair = {"en": ["the", "of", "and", "house", "river", "walks", "slowly", "under"], "ru": ["дом", "река", "идёт", "медленно", "под", "небом"], "sr": ["kuća", "reka", "ide", "polako"]}
+
+    def text(code):
+        return " ".join(rng.choice(fair[code]) for _ in range(150)) if code in fair else "".join(rng.choice("的一是在不了有和人這中大為上個") + " " * (k % 9 == 8) for k in range(900))
+
+    spelled = [(f"en-{x}", "en") for x in ("US", "GB", "us")] * 20 + [("EN", "en")] * 10 + [("ru-RU", "ru"), ("RU", "ru"), ("zh-CN", "zh"), ("zh_Hant", "zh"), ("sr-Latn", "sr"), ("sr_Cyrl", "ru")] * 2
+    spelled += [(x, lang) for x in (None, "", "und", "??", "unknown") for lang in ("en", "ru", "zh")]
+    junk = " ".join(f"{rng.choice('QXZ')}{rng.randint(0, 9999)}!!%%" for _ in range(150))
+    rows = [(k, text(lang), code) for k, (code, lang) in enumerate(spelled)] + [(900, junk, "EN-us"), (901, "too short", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r for r in quality_rules(docs).collect()}
+    assert [(k, spelled[k]) for k in range(len(spelled)) if not got[k].base_failed and not got[k].kept] == []
+    assert got[900].char_distance > 0.29 and not got[900].kept and not got[901].kept
+    assert all(got[k].char_distance == got[k].word_distance == 0 for k, (code, _) in enumerate(spelled) if code in (None, "", "und", "??", "unknown"))
+    assert {r.doc_id for r in good_documents(docs).collect()} == {i for i, r in got.items() if r.kept}
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
