@@ -270,6 +270,27 @@ def test_sketches(spark, odd_documents, odd_rows, no_documents):
     assert one.near_next == 1.0
 
 
+def test_paragraphs_are_of_one_size_whatever_the_length(spark):
+    from pyspark.sql import functions as F
+
+    from argusframe.llm.sketches import likeness, paragraph_digests
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    signs = [chr(0x4E00 + rng.randint(0, 800)) for _ in range(4000)]
+    rows = []
+    for n, units, gap in ((160, words, " "), (190, words, " "), (9000, words, " "), (11000, words, " "), (900, signs, "")):
+        text = [rng.choice(units) for _ in range(n)]
+        other, third = [rng.choice(units) for _ in range(n // 3)], n - n // 3
+        edits = {"first": ["new", *text], "third": text[:third] + other, "words": [f"x{k}" if k % 2500 == 100 else u for k, u in enumerate(text)]}
+        rows += [(n, name, gap.join(text), gap.join(e)) for name, e in edits.items()]
+    df = spark.createDataFrame(rows, "n int, name string, a string, b string").repartition(4)
+    keyed = df.select("n", "name", F.length("a").alias("chars"), F.expr(paragraph_digests("a")).alias("a"), F.expr(paragraph_digests("b")).alias("b"))
+    for r in keyed.select("*", likeness("a", "b").alias("near")).collect():
+        assert 5 < r.chars / len(r.a) < 250
+        assert abs(r.near - len({*r.a} & {*r.b}) / len({*r.a, *r.b})) < 1e-12
+        assert (0.2 if r.n < 1000 else 0.4) < r.near < 0.7 if r.name == "third" else r.near > (0.6 if r.n < 1000 else 0.95), r
+
+
 def test_peeling_counts_shared_paragraphs(spark):
     from pyspark.sql import functions as F
 
