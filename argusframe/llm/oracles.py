@@ -34,4 +34,30 @@ SELECT w.doc_id, cast(len(words) AS BIGINT) AS n_words, cast(coalesce(len(ps), 0
 FROM w LEFT JOIN lost ON lost.doc_id = w.doc_id
 """
 
-ORACLES = {"op2_ngram_join": NGRAM_JOIN, "op6_substring_dedup": SUBSTRING_DEDUP}
+SPELLING = """
+WITH RECURSIVE t AS (
+  SELECT list(c ORDER BY i) AS crcs FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+r AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY doc_id, run),
+b AS (
+  SELECT run, n, list_prepend(4294967295, flatten(list_transform(string_split(concat(doc_id, ':', run), ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END))) AS bytes FROM r),
+h AS (SELECT run, n, xor(list_reduce(list_transform(bytes, lambda x: cast(x AS BIGINT)), lambda a, x: xor(a // 256, crcs[(xor(a, x) & 255) + 1])), 4294967295) AS h FROM b, t),
+c AS (SELECT CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM h),
+w AS (SELECT word, cast(sum(n) AS BIGINT) AS n FROM c WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+d AS (SELECT DISTINCT word, n, p, word[:p - 1] || word[p + 1:] AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM w)),
+l AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.p = b.p AND a.cut = b.cut AND a.word <> b.word
+  UNION SELECT w.word, w.n, d.word, d.n FROM w JOIN d ON w.word = d.cut
+  UNION SELECT d.word, d.n, w.word, w.n FROM w JOIN d ON w.word = d.cut),
+f AS (SELECT word, n, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM l GROUP BY word, n),
+g AS (
+  SELECT w.word, CASE WHEN near_n >= 2 * w.n THEN near END AS form, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n
+  FROM w LEFT JOIN f ON f.word = w.word),
+u(word, root) AS (SELECT word, word FROM g WHERE form IS NULL UNION ALL SELECT g.word, u.root FROM g JOIN u ON g.form = u.word)
+SELECT g.word, form, root, n, n_near, form_n FROM g JOIN u ON u.word = g.word
+"""
+
+ORACLES = {"op11_spelling_groups": SPELLING, "op2_ngram_join": NGRAM_JOIN, "op6_substring_dedup": SUBSTRING_DEDUP}

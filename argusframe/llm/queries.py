@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from argusframe.llm import byte_cnn, ngram_join, oracles, packing, piece_codec, sanitize, sharding, sketches, substring_dedup, text_cnn
+from argusframe.llm import byte_cnn, ngram_join, oracles, packing, piece_codec, sanitize, sharding, sketches, spelling, substring_dedup, text_cnn
 from argusframe.llm import quality_rules as rules
 from argusframe.llm.common import documents, labels
 
@@ -53,6 +53,10 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.codec_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_join": op2_ngram_join,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sketches": op8_sketches,
     "op9_quality_rules": op9_quality_rules,
     "op10_piece_codec": op10_piece_codec,
+    "op11_spelling_groups": op11_spelling_groups,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {**oracles.ORACLES, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
