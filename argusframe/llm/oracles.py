@@ -60,4 +60,24 @@ u(word, root) AS (SELECT word, word FROM g WHERE form IS NULL UNION ALL SELECT g
 SELECT g.word, form, root, n, n_near, form_n FROM g JOIN u ON u.word = g.word
 """
 
-ORACLES = {"op11_spelling_groups": SPELLING, "op2_ngram_join": NGRAM_JOIN, "op6_substring_dedup": SUBSTRING_DEDUP}
+SOURCE_MIX = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, cast(len({_SPLIT.format(text="coalesce(text, '')")}) AS BIGINT) AS size FROM documents),
+s AS (
+  SELECT source, source_size, 2.0 * source_size AS cap, ([3, 1, 2])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM (SELECT source, cast(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)),
+o AS (SELECT cap, weight, sum(cap) OVER r AS given, sum(weight) OVER r AS filled, row_number() OVER r AS k FROM s WINDOW r AS (ORDER BY cap / weight, source ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT 1.5 * sum(source_size) AS budget, sum(weight) AS weights FROM s),
+l AS (
+  SELECT arg_min(level, k) AS level FROM (
+    SELECT o.k, (budget - coalesce(p.given, 0)) / (weights - coalesce(p.filled, 0))::DOUBLE AS level, o.cap, o.weight FROM o LEFT JOIN o p ON p.k = o.k - 1, a)
+  WHERE cap >= weight * level),
+t AS (
+  SELECT source, source_size, least(cap, weight * level)::DOUBLE AS target,
+    ('0x' || left(md5('12:' || coalesce(source, '')), 13))::BIGINT::DOUBLE / 4503599627370496 AS start FROM s, l),
+k AS (SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY size, md5('12:' || coalesce(cast(doc_id AS VARCHAR), ''))) AS n FROM d)
+SELECT k.doc_id, k.size, t.source_size, target, cast(k.size * CASE WHEN t.source_size = 0 THEN 0 ELSE
+  least(2, floor(n * (target / t.source_size) + start) - floor((n - 1) * (target / t.source_size) + start)) END AS BIGINT) AS taken
+FROM k JOIN t ON t.source IS NOT DISTINCT FROM k.source
+"""
+
+ORACLES = {"op12_source_mix": SOURCE_MIX, "op11_spelling_groups": SPELLING, "op2_ngram_join": NGRAM_JOIN, "op6_substring_dedup": SUBSTRING_DEDUP}

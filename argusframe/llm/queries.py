@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from argusframe.llm import byte_cnn, ngram_join, oracles, packing, piece_codec, sanitize, sharding, sketches, spelling, substring_dedup, text_cnn
+from argusframe.llm import byte_cnn, ngram_join, oracles, packing, piece_codec, sanitize, sharding, sketches, source_mix, spelling, substring_dedup, text_cnn
 from argusframe.llm import quality_rules as rules
 from argusframe.llm.common import documents, labels
 
@@ -57,6 +57,10 @@ def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(documents(spark, sf_dir))
 
 
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix_counts(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_join": op2_ngram_join,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_piece_codec": op10_piece_codec,
     "op11_spelling_groups": op11_spelling_groups,
+    "op12_source_mix": op12_source_mix,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {**oracles.ORACLES, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
