@@ -80,4 +80,21 @@ SELECT k.doc_id, k.size, t.source_size, target, cast(k.size * CASE WHEN t.source
 FROM k JOIN t ON t.source IS NOT DISTINCT FROM k.source
 """
 
-ORACLES = {"op12_source_mix": SOURCE_MIX, "op11_spelling_groups": SPELLING, "op2_ngram_join": NGRAM_JOIN, "op6_substring_dedup": SUBSTRING_DEDUP}
+_TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+LEXICAL_SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS terms FROM documents),
+g AS (SELECT count(*) FILTER (len(terms) > 0) AS docs, cast(sum(len(terms)) AS BIGINT) AS words FROM d),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+p AS (
+  SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, cast(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), g),
+s AS (
+  SELECT p.k, p.term, w.w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(terms) * docs) // words))) AS score
+  FROM p JOIN d ON d.k = p.k JOIN w ON w.term = p.term, g),
+t AS (SELECT item_id, k, cast(sum(times * score) AS BIGINT) AS score FROM s JOIN q ON q.term = s.term GROUP BY ALL),
+r AS (SELECT item_id, d.doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, d.doc_id) AS rank FROM t JOIN d ON d.k = t.k WHERE score > 0)
+SELECT item_id, cast(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+ORACLES = {"op13_lexical_search": LEXICAL_SEARCH, "op12_source_mix": SOURCE_MIX, "op11_spelling_groups": SPELLING, "op2_ngram_join": NGRAM_JOIN, "op6_substring_dedup": SUBSTRING_DEDUP}

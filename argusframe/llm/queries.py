@@ -8,9 +8,9 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from argusframe.llm import byte_cnn, ngram_join, oracles, packing, piece_codec, sanitize, sharding, sketches, source_mix, spelling, substring_dedup, text_cnn
+from argusframe.llm import byte_cnn, lexical_search, ngram_join, oracles, packing, piece_codec, sanitize, sharding, sketches, source_mix, spelling, substring_dedup, text_cnn
 from argusframe.llm import quality_rules as rules
-from argusframe.llm.common import documents, labels
+from argusframe.llm.common import benchmark, documents, labels
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_counts(documents(spark, sf_dir))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_join": op2_ngram_join,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_piece_codec": op10_piece_codec,
     "op11_spelling_groups": op11_spelling_groups,
     "op12_source_mix": op12_source_mix,
+    "op13_lexical_search": op13_lexical_search,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {**oracles.ORACLES, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
