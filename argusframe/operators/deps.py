@@ -183,14 +183,20 @@ def unpinned_python(requirements: DataFrame) -> DataFrame:
         message("Pin {package} to a version.", package=F.col("package")), REQUIREMENTS, 3)
 
 
+def readable_manifests(files: DataFrame) -> DataFrame:
+    """Targets whose root manifest can be read; no shuffle."""
+    return _with_documents(files.filter(F.col("path") == PACKAGE_MANIFEST).select("target_id", "content")).filter("readable").select("target_id")
+
+
+def built_in_findings(files: DataFrame) -> DataFrame:
+    """Findings that one manifest alone decides; no shuffle."""
+    dependencies = merge_dependencies(read_package_manifests(files))
+    return npm_findings(dependencies).unionByName(unpinned_python(read_requirements(files)))
+
+
 def scan_manifests(files: DataFrame) -> DataFrame:
     """Findings of the built-in dependency checks."""
-    dependencies = merge_dependencies(read_package_manifests(files))
-    return (
-        npm_findings(dependencies)
-        .unionByName(missing_lockfile(files))
-        .unionByName(unpinned_python(read_requirements(files)))
-    )
+    return built_in_findings(files).unionByName(missing_lockfile(files))
 
 
 def manifest_errors(files: DataFrame) -> DataFrame:

@@ -407,6 +407,8 @@ ORACLES["stream_scores"] = with_(
     "archive_members", files="SELECT * FROM archive_members", **scan_ctes(RULES), meta=RULE_META, env=ENV, sfiles=SFILES, slines=SLINES,
     secret_rows=f"SELECT target_id, category, severity FROM ({ALL_SECRETS})",
     **scored_ctes(_CODE_FOUND + " UNION ALL SELECT target_id, category, severity FROM secret_rows", "SELECT DISTINCT target_id FROM files"))
+ORACLES["stream_scores_history"] = ORACLES["stream_scores"]
+ORACLES["stream_dedup_findings"] = ORACLES["dedup_findings"]
 
 # Dependencies
 DEPS = """SELECT concat('order-', ord) AS target_id, package, version, kind FROM (

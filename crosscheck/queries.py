@@ -13,10 +13,10 @@ from argusframe.operators.rules import AI_RULES, FILE, LINE, RULES, Rule, number
 from argusframe.plans import documents as docs
 from argusframe.plans.scan import Engine, ScanOptions
 from argusframe.session import ensure_checkpoint_dir
-from argusframe.schema import FILES
+from argusframe.schema import FILES, FINDINGS, as_findings
 from argusframe.sources import archives, reports as rep, results
 from argusframe.sources.rule_catalog import rules_table
-from argusframe.streaming import scan_stream as st
+from argusframe.streaming import scan_stream as st, score_state as live
 from crosscheck.inputs import Inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -626,10 +626,32 @@ def _(i):
     members = i.derive("archive_members").withColumn("size_bytes", F.col("size_bytes").cast("bigint"))
     members.repartition(4, "path").write.parquet(source)
     files = i.spark.readStream.schema(FILES).option("maxFilesPerTrigger", 2).parquet(source)  # targets are spread over the batches
+    live.start_live_scores(files, out, state, ScanOptions(deps=False)).awaitTermination()
+    return live.read_live_scores(i.spark, out).select("target_id", "score", "total", "scanned_files")
+
+
+@query("stream_scores_history")
+def _(i):
+    """The same from the evidence of all batches, scored when it is read."""
+    source, out, state = (_shared_folder(i.spark, x) for x in ("archives", "scores", "state"))
+    members = i.derive("archive_members").withColumn("size_bytes", F.col("size_bytes").cast("bigint"))
+    members.repartition(4, "path").write.parquet(source)
+    files = i.spark.readStream.schema(FILES).option("maxFilesPerTrigger", 2).parquet(source)
     st.start_scores(files, out, state, ScanOptions(deps=False)).awaitTermination()
     return st.read_scores(i.spark, out, ScanOptions(deps=False)).select("target_id", "score", "total", "scanned_files")
 
 
+@query("stream_dedup_findings")
+def _(i):
+    """Findings arrive in batches, doubles and better-ranked ones late; what stands at the end is what one pass keeps."""
+    source, out, state = (_shared_folder(i.spark, x) for x in ("findings", "changes", "state"))
+    findings = as_findings(i.derive("findings"))
+    findings.repartition(3, "description", "seq").write.parquet(source)
+    stream = i.spark.readStream.schema(FINDINGS).option("maxFilesPerTrigger", 1).parquet(source)
+    live.start_dedup(stream, out, state).awaitTermination()
+    return live.standing_findings(i.spark.read.schema(live.CHANGES).parquet(out)).select("target_id", "file", "line", "rule_id", "title", "scanner", "scanner_ord")
+
+
 @query("stream_admission")
 def _(i):
     source, out, state = (_shared_folder(i.spark, x) for x in ("requests", "admitted", "state"))
