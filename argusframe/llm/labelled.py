@@ -14,13 +14,15 @@ def fold_of(doc_id: Column | str, folds: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_label: int, max_bytes: int) -> list[tuple[str, str, int]]:
     """At most ``per_label`` (text, lang, label) of each label 0 and 1, outside the held-out fold, the same at every call.
 
-    Ids are drawn by hash; texts longer than ``max_bytes`` are left out of the draw, so at most
-    ``2 * per_label * max_bytes`` bytes reach the driver.
+    Ids with conflicting labels are left out, and so are texts longer than ``max_bytes``, both before the draw, which goes by the hash of the id. So at most
+    ``2 * per_label`` ids are drawn; rows that repeat an id come with it. Without such texts the sample is empty, and the caller says what it does then.
     """
-    known = labels.filter(F.col(label).isin(0, 1) & (fold_of("doc_id", folds) != held_out)).select("doc_id", F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
+    sides = labels.filter(F.col(label).isin(0, 1) & (fold_of("doc_id", folds) != held_out)).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"), F.max(label).cast("int").alias("other"))
+    short = docs.filter(F.octet_length(F.coalesce("text", F.lit(""))) <= max_bytes)
+    known = sides.filter("label = other").select("doc_id", "label").join(short.select("doc_id"), "doc_id", "left_semi")
     order = F.xxhash64(F.col("doc_id").cast("long"), F.lit(label))
     drawn = [known.filter(F.col("label") == y).orderBy(order, "doc_id").limit(per_label) for y in (0, 1)]
     both = drawn[0].unionByName(drawn[1])
-    rows = docs.filter(F.octet_length(F.coalesce("text", F.lit(""))) <= max_bytes).join(F.broadcast(both), "doc_id").select("doc_id", "text", "lang", "label").collect()
+    rows = short.join(F.broadcast(both), "doc_id").select("doc_id", "text", "lang", "label").collect()
     rows.sort(key=lambda r: (r.doc_id, r.text or ""))
     return [(r.text or "", r.lang or "", r.label) for r in rows]
