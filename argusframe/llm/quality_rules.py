@@ -41,7 +41,8 @@ CLASSES = ("lower", "upper", "digit", "blank", "break", "stop", "symbol", "beyon
 @dataclass(frozen=True)
 class QualityLimits:
     """Limits of the rules. ``min_words``, ``max_repeat`` (percent) are the base; ``*_from`` are the
-    lengths from which a distance counts, ``*_distance`` the largest that is kept."""
+    lengths from which a distance counts, ``*_distance`` the largest that is kept; ``reference_*`` are the documents and words a language needs
+    for a reference."""
 
     min_words: int = 10
     max_repeat: int = 20
@@ -49,6 +50,8 @@ class QualityLimits:
     chars_distance: float = 0.29
     words_from: int = 50
     words_distance: float = 0.40
+    reference_docs: int = 20
+    reference_words: int = 2000
 
 
 def _class_table() -> np.ndarray:
@@ -151,7 +154,7 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def references(docs: DataFrame, limits: QualityLimits) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Summed histograms of each language over all its documents that pass the base rules."""
+    """Summed histograms of each language over all its documents that pass the base rules; a language with too few documents or words has none."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -162,6 +165,7 @@ def references(docs: DataFrame, limits: QualityLimits) -> dict[str, tuple[np.nda
                 both = np.concatenate([m["chars"], m["common"]], 1)
                 good = ~_base_failed(m, limits)
                 own = np.array([language(x) for x in langs[s.first:s.first + s.n]])
+                both = np.concatenate([both, np.ones((s.n, 1), np.int64)], 1)
                 for code in np.unique(own[good & (own != "")]):
                     totals[code] = totals.get(code, 0) + both[good & (own == code)].sum(0)
         if totals:
@@ -169,9 +173,10 @@ def references(docs: DataFrame, limits: QualityLimits) -> dict[str, tuple[np.nda
                                              schema=pa.schema([("lang", pa.string()), ("counts", pa.list_(pa.int64()))]))
 
     parts = docs.select("text", "lang").mapInArrow(sums, "lang string, counts array<bigint>")
-    width = len(CLASSES) + len(WORDS) + 1
+    width = len(CLASSES) + len(WORDS) + 2
     total = parts.groupBy("lang").agg(F.array(*[F.sum(F.col("counts")[k]) for k in range(width)]).alias("counts"))
-    return {r.lang: (np.array(r.counts[:len(CLASSES)]), np.array(r.counts[len(CLASSES):])) for r in total.collect()}
+    found = {r.lang: (np.array(r.counts[:len(CLASSES)]), np.array(r.counts[len(CLASSES):-1]), r.counts[-1]) for r in total.collect()}
+    return {code: (chars, words) for code, (chars, words, n) in found.items() if n >= limits.reference_docs and words.sum() >= limits.reference_words}
 
 
 def _verdicts(batch: pa.RecordBatch, limits: QualityLimits, known: dict) -> Iterator[tuple[Slice, dict[str, np.ndarray]]]:
@@ -197,7 +202,7 @@ def quality_rules(docs: DataFrame, limits: QualityLimits | None = None) -> DataF
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept) for each row of ``docs``.
 
     Null or blank texts have no words and fail the base; where the language code is null or names no
-    language the distances are 0 and only the base rules judge;
+    language, or one with fewer than ``reference_docs`` documents or ``reference_words`` words, the distances are 0 and only the base rules judge;
     repeated rows are judged one by one and alike; an empty table gives an empty result; columns other than
     doc_id, text and lang are not looked at.
     """
