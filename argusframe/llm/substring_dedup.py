@@ -9,8 +9,8 @@ at depth ``WINDOW``; the tree is walked by sorting the suffixes of a group.
    the least fingerprint stands for it, which equal windows agree on. About one
    word in seven is such an anchor. Anchors that occur once have a single leaf below
    them, and the windows they stand for are dropped before anything else is moved.
-2. *Deep nodes.* The windows left over are grouped by the fingerprint of all their
-   words; in each group all but the first (doc_id, start) are repeats.
+2. *Deep nodes.* The windows left over are grouped by two fingerprints of all their
+   words, 96 bits together; in each group all but the first (doc_id, start) are repeats.
 3. *Cut.* Words covered by a repeat go. Windows are judged on the input.
 
 Both groupings are summed before the shuffle: of equal fingerprints in a batch
@@ -34,6 +34,10 @@ from argusframe.llm.textbatch import Slice, as_long, fold, mix, slices, windows
 
 WINDOW = 20
 ANCHOR = 8
+#: Bits of the number of a word in its text, and what makes a second fingerprint of a word.
+WORD_BITS = 32
+SECOND = np.uint64(0x5851F42D4C957F2D)
+BROADCAST_IDS = 100_000
 
 
 def _anchors(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -52,14 +56,14 @@ def _anchors(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return starts, best[starts], owner[starts], prefix
 
 
-def _first_of_each(keys: np.ndarray, docs: np.ndarray, places: np.ndarray, later_only: bool) -> tuple[np.ndarray, np.ndarray]:
+def _first_of_each(keys: np.ndarray, checks: np.ndarray, docs: np.ndarray, places: np.ndarray, later_only: bool) -> tuple[np.ndarray, np.ndarray]:
     """Keys to send and whether the row is already known to repeat.
 
-    The first (doc, place) of equal keys keeps its key. The others are known and get a random key. The first
+    The first (doc, place) of equal keys and checks keeps its key. The others are known and get a random key. The first
     is known too if that is enough (``later_only`` false), else only rows at a later place are."""
-    order = np.lexsort((places, docs, keys))
-    k = keys[order]
-    same = np.concatenate([[False], k[1:] == k[:-1]])
+    order = np.lexsort((places, docs, checks, keys))
+    k, c = keys[order], checks[order]
+    same = np.concatenate([[False], (k[1:] == k[:-1]) & (c[1:] == c[:-1])])
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(k))))
     if later_only:
         same &= (docs[order] != docs[order][head]) | (places[order] != places[order][head])
@@ -73,33 +77,36 @@ def _first_of_each(keys: np.ndarray, docs: np.ndarray, places: np.ndarray, later
     return out_keys, out_known
 
 
-def _rows(keys: list, docs: list, places: list, later_only: bool) -> Iterator[pa.RecordBatch]:
-    k, d, p = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, docs, places))
+def _rows(keys: list, checks: list, docs: list, places: list, later_only: bool) -> Iterator[pa.RecordBatch]:
+    """``place`` holds the version of the document, the number of the word and, in its last bit, whether the row is known to repeat."""
+    k, c, d, p = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, checks, docs, places))
     if len(k):
-        k, known = _first_of_each(k, d, p, later_only)
-        yield pa.RecordBatch.from_arrays([as_long(k), pa.array(d), pa.array(p.astype(np.int64) * 2 + known)], names=["key", "doc_id", "place"])
+        k, known = _first_of_each(k, c, d, p, later_only)
+        columns = {"key": as_long(k), **({"check": pa.array(c.astype(np.int32))} if later_only else {}), "doc_id": pa.array(d), "place": pa.array(p.astype(np.int64) * 2 + known)}
+        yield pa.RecordBatch.from_pydict(columns)
 
 
-def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and versions of the documents of a batch; a version stands above the word numbers of a place."""
+    return tuple(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "version"))
 
 
 def _send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, keys, docs, places = _ids(batch), [], [], []
+        (ids, versions), keys, docs, places = _ids(batch), [], [], []
         for s in slices(batch.column("text")):
             _, anchors, owner, prefix = _anchors(s)
             new = np.concatenate([[True], anchors[1:] != anchors[:-1]]) if len(anchors) else np.zeros(0, bool)
             anchors, owner = anchors[new], owner[new]
             keys.append(prefix[anchors])
             docs.append(ids[s.first + owner])
-            places.append(anchors - s.word_bounds[owner])
-        yield from _rows(keys, docs, places, False)
+            places.append((versions[s.first + owner] << WORD_BITS) + anchors - s.word_bounds[owner])
+        yield from _rows(keys, [np.zeros(len(k), np.int64) for k in keys], docs, places, False)
 
 
 def _send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, hits, keys, docs, places = _ids(batch), batch.column("hits"), [], [], []
+        (ids, versions), hits, keys, checks, docs, places = _ids(batch), batch.column("hits"), [], [], [], []
         for s in slices(batch.column("text")):
             starts, anchors, owner, _ = _anchors(s)
             mine = hits.slice(s.first, s.n)
@@ -108,27 +115,45 @@ def _send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             hit[words] = True
             open_ = hit[anchors]
             starts, owner = starts[open_], owner[open_]
-            deep = fold(windows(s.words, WINDOW // 2), WINDOW // 2, WINDOW)
-            keys.append(deep[starts])
+            for found, words in ((keys, s.words), (checks, mix(s.words ^ SECOND))):
+                found.append(fold(windows(words, WINDOW // 2), WINDOW // 2, WINDOW)[starts])
+            checks[-1] = (checks[-1] >> np.uint64(32)).astype(np.int64) - (1 << 31)
             docs.append(ids[s.first + owner])
-            places.append(starts - s.word_bounds[owner])
-        yield from _rows(keys, docs, places, True)
+            places.append((versions[s.first + owner] << WORD_BITS) + starts - s.word_bounds[owner])
+        yield from _rows(keys, checks, docs, places, True)
+
+
+def _with_versions(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, text) of the rows that have an id. Rows alike in both are one version; different texts of one
+    doc_id are numbered from 0 in the order of their hashes. Only ids with several texts are joined, which usually are few."""
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    several = texts.groupBy("doc_id").agg(F.min("h").alias("least"), F.max("h").alias("most")).filter("least <> most").select("doc_id")
+    several = store(several, "several")
+    few = several.count()
+    if not few:
+        return texts.select("doc_id", F.lit(0).cast("long").alias("version"), "text")
+    ids = F.broadcast(several) if few <= BROADCAST_IDS else several
+    distinct = texts.select("doc_id", "h").join(ids, "doc_id").distinct()
+    versions = store(distinct.withColumn("version", (F.row_number().over(Window.partitionBy("doc_id").orderBy("h")) - 1).cast("long")), "versions")
+    versions = F.broadcast(versions) if versions.count() <= BROADCAST_IDS else versions
+    return texts.join(versions, ["doc_id", "h"], "left").select("doc_id", F.coalesce("version", F.lit(0).cast("long")).alias("version"), "text")
 
 
 def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents that hold a repeated anchor (doc_id, text), and (doc_id, cuts): the starts of windows that occur earlier."""
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = "key bigint, doc_id bigint, place bigint"
-    place, known = F.shiftright("place", 1).cast("int"), F.col("place").bitwiseAND(1) == 1
+    """Documents that hold a repeated anchor (doc_id, version, text), and (doc_id, version, cuts): the starts of windows that occur earlier."""
+    texts = _with_versions(docs)
+    sent = "key bigint, {}doc_id bigint, place bigint"
+    place, known = F.expr(f"CAST(shiftright(place, 1) & {(1 << WORD_BITS) - 1} AS INT)"), F.col("place").bitwiseAND(1) == 1
+    document = ["doc_id", F.shiftright("place", WORD_BITS + 1).alias("version")]
 
-    anchors = texts.mapInArrow(_send_anchors, sent).withColumn("c", F.count("*").over(Window.partitionBy("key")))
-    hits = anchors.filter(known | (F.col("c") > 1)).groupBy("doc_id").agg(F.collect_set(place).alias("hits"))
-    held = store(texts.join(hits, "doc_id"), "held")
+    anchors = texts.mapInArrow(_send_anchors, sent.format("")).withColumn("c", F.count("*").over(Window.partitionBy("key")))
+    hits = anchors.filter(known | (F.col("c") > 1)).groupBy(*document).agg(F.collect_set(place).alias("hits"))
+    held = store(texts.join(hits, ["doc_id", "version"]), "held")
 
-    leaves = held.mapInArrow(_send_windows, sent).withColumn(
-        "at", F.rank().over(Window.partitionBy("key").orderBy("doc_id", F.shiftright("place", 1))))
-    cuts = leaves.filter(known | (F.col("at") > 1)).groupBy("doc_id").agg(F.collect_set(place).alias("cuts"))
-    return held.select("doc_id", "text"), cuts
+    leaves = held.mapInArrow(_send_windows, sent.format("check int, ")).withColumn(
+        "at", F.rank().over(Window.partitionBy("key", "check").orderBy("doc_id", F.shiftright("place", 1))))
+    cuts = leaves.filter(known | (F.col("at") > 1)).groupBy(*document).agg(F.collect_set(place).alias("cuts"))
+    return held.select("doc_id", "version", "text"), cuts
 
 
 def _kept_words(texts: pa.Array, cuts: pa.Array | None) -> Iterator[tuple[int, int, bytes]]:
@@ -153,44 +178,47 @@ def _kept_words(texts: pa.Array, cuts: pa.Array | None) -> Iterator[tuple[int, i
 
 
 def cut_documents(held: DataFrame, cuts: DataFrame) -> DataFrame:
-    """(doc_id, n_removed, kept_text) of the documents that lose words."""
+    """(doc_id, h, n_removed, kept_text) of the documents that lose words, one row for each text; ``h`` is the hash of the text as it was."""
 
     def cut(batches):
         for batch in batches:
             found = list(_kept_words(batch.column("text"), batch.column("cuts")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2].decode() for x in found], pa.string())],
-                                             names=["doc_id", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2].decode() for x in found], pa.string())],
+                                             names=["doc_id", "h", "n_removed", "kept_text"])
 
-    return held.join(cuts, "doc_id").mapInArrow(cut, "doc_id bigint, n_removed bigint, kept_text string")
+    joined = held.join(cuts, ["doc_id", "version"]).withColumn("h", F.xxhash64("text"))
+    return joined.mapInArrow(cut, "doc_id bigint, h bigint, n_removed bigint, kept_text string").dropDuplicates(["doc_id", "h"])
 
 
 def word_digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, sha256): words of each whole text, joined by one space."""
+    """(doc_id, h, n_words, sha256): words of each whole text, joined by one space."""
 
     def digest(batches):
         for batch in batches:
             found = list(_kept_words(batch.column("text"), None))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in found], pa.int64()), pa.array([hashlib.sha256(x[2]).hexdigest() for x in found], pa.string())],
-                                             names=["doc_id", "n_words", "sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array([x[0] for x in found], pa.int64()), pa.array([hashlib.sha256(x[2]).hexdigest() for x in found], pa.string())],
+                                             names=["doc_id", "h", "n_words", "sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(digest, "doc_id bigint, n_words bigint, sha256 string")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    return keyed.mapInArrow(digest, "doc_id bigint, h bigint, n_words bigint, sha256 string")
 
 
 def substring_dedup_digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for each row of ``docs``; see ``substring_dedup`` for odd rows."""
     held, cuts = repeated_windows(docs)
-    changed = cut_documents(held, cuts).select("doc_id", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept")).dropDuplicates(["doc_id"])
-    return word_digests(docs).join(changed, "doc_id", "left").select(
+    changed = cut_documents(held, cuts).select("doc_id", "h", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept"))
+    return word_digests(docs).join(changed, ["doc_id", "h"], "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept", "sha256").alias("kept_sha256"))
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated words taken out of ``text``; a text that loses none stays as it is.
 
-    A null text stays null, a text of fewer than ``WINDOW`` words stays as it is. Of equal windows the first by (doc_id, start) stays; rows that
-    repeat a doc_id count as the same document and are not copies of each other; rows without doc_id are passed through;
-    an empty table gives an empty result; other columns are kept as they are.
+    A null text stays null, a text of fewer than ``WINDOW`` words stays as it is. Of equal windows the first by (doc_id, start) stays. Rows alike in
+    doc_id and text are one document and no copies of each other; different texts of one doc_id are documents of their own, in the
+    order of their hashes; rows without doc_id are passed through; an empty table gives an empty result; other columns are kept as they are.
     """
     held, cuts = repeated_windows(docs)
-    changed = cut_documents(held, cuts).select("doc_id", F.col("kept_text").alias("__kept_text")).dropDuplicates(["doc_id"])
-    return docs.join(changed, "doc_id", "left").withColumn("text", F.coalesce("__kept_text", "text")).select(*docs.columns)
+    changed = cut_documents(held, cuts).select(F.col("doc_id").alias("__doc_id"), F.col("h").alias("__h"), F.col("kept_text").alias("__kept_text"))
+    same = (F.col("doc_id").cast("long") == F.col("__doc_id")) & (F.xxhash64("text") == F.col("__h"))
+    return docs.join(changed, same, "left").withColumn("text", F.coalesce("__kept_text", "text")).select(*docs.columns)

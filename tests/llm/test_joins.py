@@ -100,6 +100,16 @@ def test_passage_repeated_inside_a_text_and_overlapping(spark):
     assert {i: (r.n_words, r.n_removed) for i, r in got.items()} == {i: v[:2] for i, v in expected.items()}
 
 
+def test_one_id_with_several_texts(spark):
+    """Each text keeps its own cuts, whatever the other texts of its id are."""
+    long, short = " ".join(f"a{k}" for k in range(80)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, long), (2, long), (2, short), (3, short), (3, short), (4, "x " + short), (4, None), (4, "few words")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup_digests(docs).collect())
+    assert got == [(1, 80, 0), (2, 30, 0), (2, 80, 80), (3, 30, 30), (3, 30, 30), (4, 0, 0), (4, 2, 0), (4, 31, 30)]
+    assert sorted((r.doc_id, r.text or "") for r in substring_dedup(docs).collect()) == [(1, long), (2, ""), (2, short), (3, ""), (3, ""), (4, ""), (4, "few words"), (4, "x")]
+
+
 def test_substrings_of_nothing(no_documents):
     assert substring_dedup_digests(no_documents).collect() == []
     assert substring_dedup(no_documents).collect() == []
