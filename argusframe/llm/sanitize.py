@@ -5,12 +5,12 @@ number of digits). The patterns are those of the rule with possessive repeats an
 which finds the same matches without backtracking.
 
 *Disclosure.* Each found value is a protected entity e, and every run of letters, marks and digits that touches no base span is a
-candidate term t of its document. Over the whole corpus it is counted in how many documents e occurs, t occurs, and both meet, wherever they
-are in the texts. The information that t gives about e, log2(P(e|t) / P(e)), is held against all there is to know about e, log2(1 / P(e)).
-A term that gives away at least ``disclosure`` of it, on the evidence of at least ``support`` documents, is a further span and is
-generalised wherever it is in the documents that hold e. Texts without an entity stay as they are.
+candidate term t of its text. Over all different texts of the corpus (copies are no evidence) it is counted in how many e occurs, t occurs, and both
+meet, wherever they are in the texts. The information that t gives about e, log2(P(e|t) / P(e)), is held against all there is to know about e, log2(1 / P(e)).
+A term that gives away at least ``disclosure`` of it, on the evidence of at least ``support`` texts, is a further span and is
+generalised wherever it is in the texts that hold e. Texts without the entity have nothing to protect and stay as they are.
 
-Entities of fewer than ``support`` documents can meet no term often enough, so only the others are paired with the terms of their documents.
+Entities of fewer than ``support`` texts can meet no term often enough, so only the others are paired with the terms of their texts.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from argusframe.llm.common import store
+from argusframe.operators.skew import salted_join
 
 # The kinds of personal data in the order of their listing and the patterns that define them.
 PATTERNS = {
@@ -30,6 +31,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = (*PATTERNS, "term")
+#: Key of a text.
+TEXT = ["h", "c"]
 # Cheap tests that a text with a valid match always passes.
 HINTS = {
     "email": "contains({t}, '@')",
@@ -42,7 +45,7 @@ TERM = r"[\p{L}\p{M}\p{N}]++"
 
 @dataclass(frozen=True)
 class SanitizeParams:
-    """``support``: documents in which an entity and its term meet at the least; ``disclosure``: share of what there is to know."""
+    """``support``: texts in which an entity and its term meet at the least; ``disclosure``: share of what there is to know."""
 
     support: int = 2
     disclosure: float = 0.8
@@ -100,14 +103,14 @@ def _terms() -> Column:
     return F.expr(f"array_distinct(transform(regexp_extract_all(plain, r'{TERM}', 0), v -> lower(v)))")
 
 
-def _places(holders: DataFrame) -> DataFrame:
-    """(key, es, t, s, f): each place of a term; sums over the row of terms and gaps, as arrays would be copied for each term."""
-    runs = holders.select("key", "es", F.expr(f"regexp_extract_all(plain, r'{TERM}', 0)").alias("v"), F.expr(f"split(plain, r'{TERM}', -1)").alias("g"))
-    runs = runs.select("key", "es", F.arrays_zip("v", "g").alias("runs"))
-    runs = runs.select("key", "es", F.posexplode("runs").alias("i", "x")).filter("x.v IS NOT NULL")
-    runs = runs.select("key", "es", "i", F.expr("lower(x.v)").alias("t"), F.expr("char_length(x.v)").alias("n"), F.expr("char_length(x.g)").alias("gap"))
-    end = F.sum(F.col("gap") + F.col("n")).over(Window.partitionBy("key").orderBy("i")).cast("int")
-    return runs.withColumn("f", end).select("key", "es", "t", (F.col("f") - F.col("n")).alias("s"), "f")
+def _places(texts: DataFrame) -> DataFrame:
+    """(h, c, t, s, f): each place of a term; sums over the row of terms and gaps, as arrays would be copied for each term."""
+    runs = texts.select(*TEXT, F.expr(f"regexp_extract_all(plain, r'{TERM}', 0)").alias("v"), F.expr(f"split(plain, r'{TERM}', -1)").alias("g"))
+    runs = runs.select(*TEXT, F.arrays_zip("v", "g").alias("runs"))
+    runs = runs.select(*TEXT, F.posexplode("runs").alias("i", "x")).filter("x.v IS NOT NULL")
+    runs = runs.select(*TEXT, "i", F.expr("lower(x.v)").alias("t"), F.expr("char_length(x.v)").alias("n"), F.expr("char_length(x.g)").alias("gap"))
+    end = F.sum(F.col("gap") + F.col("n")).over(Window.partitionBy(*TEXT).orderBy("i")).cast("int")
+    return runs.withColumn("f", end).select(*TEXT, "t", (F.col("f") - F.col("n")).alias("s"), "f")
 
 
 def _printed(spans: str) -> str:
@@ -115,32 +118,54 @@ def _printed(spans: str) -> str:
     return f"array_join(transform({spans}, x -> concat(array({names})[x.o], ':', x.s, ':', x.e)), ',')"
 
 
-def detect(docs: DataFrame, params: SanitizeParams | None = None) -> DataFrame:
-    """(doc_id, key, base, spans) for each row of ``docs``: base spans, and all spans with those of revealing terms."""
-    p = params or SanitizeParams()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    spotted = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text", base_spans("text").alias("base"))
-    found = store(spotted.select("doc_id", "key", "base", F.when(F.size("base") > 0, _blanked()).alias("plain")), "detected")
+def _with_text_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with the key of its text, 96 bits of hashes; rows with equal texts have equal keys."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.withColumn("h", F.xxhash64(text)).withColumn("c", F.crc32(text.cast("binary")))
 
-    own = found.filter("size(base) > 0").select("key", F.explode(_entities()).alias("e")).distinct()
-    held = store(own.groupBy("e").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= p.support), "held")
-    known = own.join(held, "e").groupBy("key").agg(F.collect_list("e").alias("es"))
-    holders = store(found.filter("size(base) > 0").select("key", "plain").dropDuplicates(["key"]).join(known, "key"), "holders")
+
+def revealing_terms(found: DataFrame, holders: DataFrame, held: DataFrame, p: SanitizeParams) -> DataFrame:
+    """(e, t) of the terms that give away enough about an entity, counted over different texts."""
     met = holders.select("es", F.explode(_terms()).alias("t")).select("t", F.explode("es").alias("e"))
     meet = met.groupBy("e", "t").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= p.support)
-    seen = spotted.select(_blanked().alias("plain")).select(F.explode(_terms()).alias("t")).groupBy("t").agg(F.count("*").alias("n_t")).filter(F.col("n_t") >= p.support)
+    seen = found.select(F.explode(_terms()).alias("t")).groupBy("t").agg(F.count("*").alias("n_t")).filter(F.col("n_t") >= p.support)
     total = F.lit(float(max(1, found.count())))
-    gain = F.log2(total * F.col("n_et") / (F.greatest("n_t", "n_et") * F.col("n_e")))
-    reveals = meet.join(seen, "t").join(held, "e").filter(gain >= p.disclosure * F.log2(total / F.least(total / 2, F.col("n_e")))).select("e", "t")
-    places = _places(holders).select("key", "t", "s", "f", F.explode("es").alias("e")).join(reveals, ["e", "t"])
-    terms = places.groupBy("key").agg(F.collect_set(F.expr(f"named_struct('s', s, 'o', {len(PATTERNS)}, 'e', f, 'v', t)")).alias("terms"))
-    return found.join(terms, "key", "left").select("doc_id", "key", "base", F.expr("array_sort(concat(base, coalesce(terms, array())))").alias("spans"))
+    gain = F.log2(total * F.col("n_et") / (F.col("n_t") * F.col("n_e")))
+    enough = gain >= p.disclosure * F.log2(total / F.least(total / 2, F.col("n_e")))
+    return meet.join(seen, "t").join(held, "e").filter(enough).select("e", "t")
+
+
+def detect_texts(docs: DataFrame, params: SanitizeParams | None = None) -> DataFrame:
+    """(h, c, base, spans) of each different text of ``docs`` that has a span: base spans, and all spans with those of revealing terms."""
+    p = params or SanitizeParams()
+    texts = _with_text_key(docs.select(F.coalesce("text", F.lit("")).alias("text"))).dropDuplicates(TEXT)
+    found = store(texts.select(*TEXT, "text", base_spans("text").alias("base")).select(*TEXT, "base", _blanked().alias("plain")), "detected")
+
+    own = found.filter("size(base) > 0").select(*TEXT, F.explode(_entities()).alias("e"))
+    held = store(own.groupBy("e").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= p.support), "held")
+    known = own.join(held, "e").groupBy(*TEXT).agg(F.collect_list("e").alias("es"))
+    holders = store(found.filter("size(base) > 0").select(*TEXT, "plain").join(known, TEXT), "holders")
+    reveals = revealing_terms(found, holders, held, p)
+    marked = holders.select(*TEXT, "es", F.explode(_terms()).alias("t")).select(*TEXT, "t", F.explode("es").alias("e")).join(reveals, ["e", "t"])
+    marked = store(marked.select(*TEXT, "t").distinct(), "marked")
+    places = _places(holders.join(marked.select(*TEXT).distinct(), TEXT)).join(marked, [*TEXT, "t"])
+    terms = places.groupBy(*TEXT).agg(F.collect_set(F.expr(f"named_struct('s', s, 'o', {len(PATTERNS)}, 'e', f, 'v', t)")).alias("terms"))
+    both = found.select(*TEXT, "base").join(terms, TEXT, "left").filter("size(base) > 0 OR terms IS NOT NULL")
+    return both.select(*TEXT, "base", F.expr("array_sort(concat(base, coalesce(terms, array())))").alias("spans"))
+
+
+def detect(docs: DataFrame, params: SanitizeParams | None = None) -> DataFrame:
+    """(doc_id, base, spans) for each row of ``docs``. Rows with one text may be a third of all, so the join is salted."""
+    rows = _with_text_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text")
+    none = F.expr("CAST(array() AS ARRAY<STRUCT<s: INT, o: INT, e: INT, v: STRING>>)")
+    joined = salted_join(rows, detect_texts(docs, params), TEXT, "left", salts=8)
+    return joined.select("doc_id", F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
 
 
 def sanitize_digests(docs: DataFrame, params: SanitizeParams | None = None) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each row of ``docs``.
 
-    A null text counts as an empty one and has no spans; repeated rows come out alike and count as one document in the statistics; an empty table gives
+    A null text counts as an empty one and has no spans; rows with equal texts come out alike and count as one text in the statistics; an empty table gives
     an empty result; only doc_id and text are read.
     """
     counts = [F.expr(f"CAST(size(filter(base, x -> x.o = {o})) AS BIGINT)").alias(f"n_{kind}") for o, kind in enumerate(PATTERNS)]
@@ -152,10 +177,11 @@ def sanitize(docs: DataFrame, params: SanitizeParams | None = None) -> DataFrame
 
     Of overlapping spans the first counts, and one that begins inside it goes with the rest of its characters kept out of the text.
     """
-    found = detect(docs, params).filter("size(spans) > 0").select(F.col("key").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__key"])
+    found = detect_texts(docs, params).select(F.col("h").alias("__h"), F.col("c").alias("__c"), F.col("spans").alias("__spans"))
     names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
     masked = f"""aggregate(__spans, named_struct('at', 0, 'out', ''), (a, x) -> CASE
         WHEN x.s >= a.at THEN named_struct('at', x.e, 'out', concat(a.out, substring(text, a.at + 1, x.s - a.at), array({names})[x.o]))
         ELSE named_struct('at', greatest(a.at, x.e), 'out', a.out) END, a -> concat(a.out, substring(text, a.at + 1)))"""
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
-    return keyed.join(found, "__key", "left").withColumn("text", F.expr(f"IF(__spans IS NULL, text, {masked})")).select(*docs.columns)
+    text = F.coalesce("text", F.lit(""))
+    same = (F.xxhash64(text) == F.col("__h")) & (F.crc32(text.cast("binary")) == F.col("__c"))
+    return docs.join(found, same, "left").withColumn("text", F.expr(f"IF(__spans IS NULL, text, {masked})")).select(*docs.columns)

@@ -233,6 +233,53 @@ def test_terms_that_give_an_entity_away(spark):
     assert got[200] == "" and "term" not in got[201]
 
 
+def plain_terms(texts, support=2, disclosure=0.8):
+    """Spans of revealing terms of each text, with all counts made again over the different texts."""
+    import regex
+    texts = sorted(set(texts))
+    blank, entities = {}, {}
+    for text in texts:
+        spans, cut = plain_spans(text), list(text)
+        for s, _, e, _ in spans:
+            cut[s:e] = " " * (e - s)
+        blank[text] = "".join(cut)
+        entities[text] = {(o, text[s:e].lower() if o == 0 else re.sub("[^0-9.]", "", text[s:e])) for s, o, e, _ in spans}
+    runs = {text: [(m.start(), m.end(), m.group().lower()) for m in regex.finditer(r"[\p{L}\p{M}\p{N}]+", blank[text])] for text in texts}
+    n_t = Counter(t for text in texts for t in {r[2] for r in runs[text]})
+    n_e = Counter(e for text in texts for e in entities[text])
+    n_et = Counter((e, t) for text in texts for e in entities[text] for t in {r[2] for r in runs[text]})
+    reveals = set()
+    for (e, t), n in n_et.items():
+        if n >= support and np.log2(len(texts) * n / (n_t[t] * n_e[e])) >= disclosure * np.log2(len(texts) / min(len(texts) / 2, n_e[e])) - 1e-12:
+            reveals.add((e, t))
+    return {text: {(s, f) for s, f, t in runs[text] if any((e, t) in reveals for e in entities[text])} for text in texts}
+
+
+def test_statistics_equal_a_recount_and_copies_are_no_evidence(spark):
+    rng = random.Random(12)
+    names, common = [f"name{k}" for k in range(12)], [f"word{k}" for k in range(30)]
+    rows = []
+    for k in range(260):
+        text = rng.choices(common, k=rng.randint(3, 12))
+        if k % 4 == 0:
+            who = rng.randrange(8)
+            text[1:1] = [names[who], f"{'abcdefgh'[who]}@mail.example.com"]
+        if k % 9 == 0:
+            text.append(rng.choice(names))
+        rows.append((k, " ".join(text)))
+    rows += [(900, "two copies only hold this zebra x@twice.example.com"), (901, "two copies only hold this zebra x@twice.example.com"), (902, None)]
+    expected = plain_terms([t or "" for _, t in rows])
+    assert sum(map(len, expected.values())) > 20
+
+    def got(rows):
+        out = sanitize_digests(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+        return {r.doc_id: {(int(s), int(e)) for k, s, e in (x.split(":") for x in r.spans.split(",") if x) if k == "term"} for r in out}, {(r.doc_id, r.spans) for r in out}
+    spans, printed = got(rows)
+    assert spans == {d: expected[t or ""] for d, t in rows} and spans[900] == set()
+    assert got(rows * 4)[1] == printed
+    assert got(rows + [(5000 + d, t) for d, t in rows if d % 2])[0].items() >= spans.items()
+
+
 def test_terms_count_and_go_over_whole_documents(spark):
     far = " and so it goes" * 12
     rows = [(k, f"notes on rivers number{k} and so it goes") for k in range(60)]
