@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import base64
 import hashlib
+import math
 import random
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
@@ -11,6 +14,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -317,10 +321,83 @@ def test_sketches(spark, odd_documents, odd_rows, no_documents):
     assert one.near_next == 1.0
 
 
-def test_paragraphs_are_of_one_size_whatever_the_length(spark):
-    from pyspark.sql import functions as F
-
-    from argusframe.llm.sketches import likeness, paragraph_digests
+def hashed(key, seeds=()):
+    """Spark's xxhash64 of a long and then of ints."""
+    h = xxhash.xxh64_intdigest(struct.pack("<q", key), seed=42)
+    for j in seeds:
+        h = xxhash.xxh64_intdigest(struct.pack("<i", j), seed=h)
+    return h
+
+
+def cells_of(key, w):
+    return [(hashed(key, (j,)) & (w - 1)) + j * w for j in range(3)]
+
+
+def sketch_of(keys, w):
+    """Cells (n, k, c) of digests, by place."""
+    out = {}
+    for key in keys:
+        for cell in cells_of(key, w):
+            n, k, c = out.get(cell, (0, 0, 0))
+            out[cell] = (n + 1, k ^ key, c ^ hashed(key))
+    return out
+
+
+def parsed(fingerprint):
+    raw = base64.b64decode(fingerprint)
+    n, w = struct.unpack(">II", raw[:8])
+    cells = {}
+    for at in range(8, len(raw), 17):
+        k, c = struct.unpack(">qI", raw[at + 5:at + 17])
+        cells[int.from_bytes(raw[at:at + 3], "big")] = (int.from_bytes(raw[at + 3:at + 5], "big"), k, c)
+    return n, w, cells
+
+
+def folded(cells, w, narrow):
+    out = {}
+    for cell, (n, k, c) in cells.items():
+        at = cell // w * narrow + cell % w % narrow
+        m, l, d = out.get(at, (0, 0, 0))
+        out[at] = (n + m, k ^ l, c ^ d)
+    return out
+
+
+def plain_near(a, b):
+    """The likeness of two printed fingerprints, from them alone."""
+    (na, wa, a), (nb, wb, b) = parsed(a), parsed(b)
+    if na + nb == 0:
+        return 1.0, True
+    least = min(wa, wb)
+    for w in (max(8, least // 4), least):
+        left, right = folded(a, wa, w), folded(b, wb, w)
+        cells = {}
+        for at in {*left, *right}:
+            (n, k, c), (m, l, d) = left.get(at, (0, 0, 0)), right.get(at, (0, 0, 0))
+            if (n - m, k ^ l, c ^ d) != (0, 0, 0):
+                cells[at] = (n - m, k ^ l, c ^ d)
+        used = len(cells)
+        if used > 0.91 * 3 * w:
+            continue
+        found = 0
+        for step in range(18):
+            table = step % 3
+            singles = [(n, k) for at, (n, k, c) in cells.items() if at // w == table and abs(n) == 1 and hashed(k) & 0xFFFFFFFF == c and cells_of(k, w)[table] == at]
+            found += len(singles)
+            for n, k in singles:
+                for at in cells_of(k, w):
+                    m, l, d = cells.get(at, (0, 0, 0))
+                    cells[at] = (m - n, l ^ k, d ^ (hashed(k) & 0xFFFFFFFF))
+                    if cells[at] == (0, 0, 0):
+                        del cells[at]
+        if not cells:
+            return (na + nb - found) / (na + nb + found), True
+    guess = int(-w * math.log(max(0.5, 3 * w - used) / (3 * w)) + 0.5)
+    d = min(na + nb, max(abs(na - nb), guess))
+    return (na + nb - d) / (na + nb + d), False
+
+
+def edits():
+    """Texts of five lengths with three edits each."""
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
     signs = [chr(0x4E00 + rng.randint(0, 800)) for _ in range(4000)]
@@ -329,26 +406,69 @@ def test_paragraphs_are_of_one_size_whatever_the_length(spark):
         text = [rng.choice(units) for _ in range(n)]
         other, third = [rng.choice(units) for _ in range(n // 3)], n - n // 3
         edits = {"first": ["new", *text], "third": text[:third] + other, "words": [f"x{k}" if k % 2500 == 100 else u for k, u in enumerate(text)]}
-        rows += [(n, name, gap.join(text), gap.join(e)) for name, e in edits.items()]
-    df = spark.createDataFrame(rows, "n int, name string, a string, b string").repartition(4)
-    keyed = df.select("n", "name", F.length("a").alias("chars"), F.expr(paragraph_digests("a")).alias("a"), F.expr(paragraph_digests("b")).alias("b"))
-    for r in keyed.select("*", likeness("a", "b").alias("near")).collect():
+        rows += [(len(rows) + j, n, name, gap.join(text), gap.join(e)) for j, (name, e) in enumerate(edits.items())]
+    return rows
+
+
+def test_paragraphs_are_of_one_size_whatever_the_length(spark):
+    from pyspark.sql import functions as F
+
+    from argusframe.llm.sketches import likeness, paragraph_digests, recovered_digests
+    df = spark.createDataFrame(edits(), "row int, n int, name string, a string, b string")
+    keyed = df.select("row", F.lit(0).alias("pair"), "n", "name", F.length("a").alias("chars"), F.expr(paragraph_digests("a")).alias("a"), F.expr(paragraph_digests("b")).alias("b")).cache()
+    near = {r.row: r for r in likeness(keyed.repartition("row"), "row").collect()}
+    found = defaultdict(set)
+    for r in recovered_digests(keyed.repartition("row"), "row").collect():
+        found[r.row].add((r.digest, r.sign))
+    for r in keyed.collect():
         assert 5 < r.chars / len(r.a) < 250
-        assert abs(r.near - len({*r.a} & {*r.b}) / len({*r.a, *r.b})) < 1e-12
-        assert (0.2 if r.n < 1000 else 0.4) < r.near < 0.7 if r.name == "third" else r.near > (0.6 if r.n < 1000 else 0.95), r
+        exact = len({*r.a} & {*r.b}) / len({*r.a, *r.b})
+        if near[r.row].peeled:
+            assert abs(near[r.row].near - exact) < 1e-12
+            assert found[r.row] == {(k, 1) for k in {*r.a} - {*r.b}} | {(k, -1) for k in {*r.b} - {*r.a}}
+        else:
+            assert r.n < 1000 and r.row not in found
+        assert (0.2 if r.n < 1000 else 0.4) < exact < 0.7 if r.name == "third" else exact > (0.6 if r.n < 1000 else 0.95), r
+    assert sum(r.peeled for r in near.values()) >= 13
 
 
-def test_peeling_counts_shared_paragraphs(spark):
+def test_likeness_comes_from_the_fingerprints_alone(spark):
+    from pyspark.sql import functions as F
+    texts = [t for r in edits() if r[2] != "third" for t in (r[3], r[4])]
+    rows = [(k, t) for k, t in enumerate([*texts, *texts[:3], "", None, "one line", "a\nb\nc", "a\nb\nd", " ".join(texts[0].split()[:40])])]
+    got = document_fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")).orderBy(F.col("doc_id").desc()).collect()
+    peeled = 0
+    for r, after in zip(got, [*got[1:], got[0]]):
+        near, sure = plain_near(r.fingerprint, r.edited_fingerprint)
+        assert abs(near - r.near_edited) < 1e-12
+        peeled += sure
+        assert abs(plain_near(r.fingerprint, after.fingerprint)[0] - r.near_next) < 1e-12
+    assert peeled > 0.8 * len(got)
+
+
+def test_printed_cells_and_peeling(spark):
     from pyspark.sql import functions as F
 
-    from argusframe.llm.sketches import likeness, shared
+    from argusframe.llm.sketches import fingerprints, likeness, recovered_digests
     rng = random.Random(8)
     rows = []
-    for k in range(60):
-        both, a, b = ([rng.getrandbits(63) for _ in range(rng.randint(0, n))] for n in (30, 30, 20))
-        rows.append((both + a, both + b, len(both)))
-    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>, n int")
-    out = df.select("n", "a", "b", F.expr(shared("a", "b", 12)).alias("narrow"), F.expr(shared("a", "b", 48)).alias("wide"), likeness("a", "b").alias("j")).collect()
-    assert all(r.narrow in (None, r.n) and r.wide in (None, r.n) for r in out)
-    assert any(r.narrow is None and r.wide is not None for r in out)
-    assert all(abs(r.j - (r.n / len({*r.a, *r.b}) if r.a or r.b else 1)) < 1e-12 for r in out)
+    for k in range(120):
+        both, a, b = ([rng.getrandbits(64) - (1 << 63) for _ in range(rng.randint(0, n))] for n in (rng.choice([3, 30, 300]), 30, 20))
+        rows.append((k, 0, both + a, both + b))
+    df = spark.createDataFrame(rows, "row int, pair int, a array<bigint>, b array<bigint>").repartition("row").cache()
+    prints = {r.row: (r.a, r.b) for r in fingerprints(df, "row", ("a", "b")).collect()}
+    near = {r.row: r for r in likeness(df, "row").collect()}
+    digests = recovered_digests(df, "row").groupBy("row").agg(F.collect_set(F.struct("digest", "sign")).alias("d"))
+    found = {r.row: {(x.digest, x.sign) for x in r.d} for r in digests.collect()}
+    for k, _, a, b in rows:
+        for keys, fingerprint in zip((a, b), prints[k]):
+            n, w, cells = parsed(fingerprint)
+            assert n == len(keys) and w == max(8, 1 << max(0, math.ceil(math.log2(max(1, n) / 2))))
+            assert cells == {at: (n, x, c & 0xFFFFFFFF) for at, (n, x, c) in sketch_of(keys, w).items()}
+        assert (near[k].near, near[k].peeled) == plain_near(*prints[k])
+        if near[k].peeled:
+            assert near[k].near == (len({*a} & {*b}) / len({*a, *b}) if a or b else 1)
+            assert found.get(k, set()) == {(x, 1) for x in {*a} - {*b}} | {(x, -1) for x in {*b} - {*a}}
+        else:
+            assert k not in found
+    assert sum(r.peeled for r in near.values()) > 60
