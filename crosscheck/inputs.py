@@ -382,3 +382,22 @@ class Inputs:
             F.filter(F.array(F.struct(F.lit("Set-Cookie").alias("key"), cookies.alias("value"))), lambda e: F.size(e["value"]) > 0))
         return lower_header_names(flat.select(
             "target_id", "url", "path", "kind", "method", "status", F.map_from_entries(entries).alias("headers"), "body"))
+
+
+def store_files(rows: DataFrame, folder: str) -> None:
+    """Write ``(path, content)`` as files below ``folder``, from where the rows are."""
+    import pyarrow as pa
+
+    from argusframe.sources.trees import open_store
+
+    def write(batches):
+        store, root = open_store(folder)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                place = f"{root}/{path.lstrip('/')}"
+                store.create_dir(place.rpartition("/")[0])
+                with store.open_output_stream(place) as out:
+                    out.write(content or b"")
+            yield pa.RecordBatch.from_pydict({"files": [len(batch)]})
+
+    rows.select("path", "content").mapInArrow(write, "files bigint").agg({"files": "sum"}).collect()

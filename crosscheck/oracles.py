@@ -125,7 +125,8 @@ ORACLES["prune_paths"] = with_(f"SELECT target_id, path FROM files WHERE {SCANNE
 ORACLES["size_cap"] = with_("SELECT target_id, path, size_bytes FROM files WHERE size_bytes <= 1048576", "files")
 ORACLES["decode_utf8"] = with_("SELECT target_id, path, concat(content, chr(65533), chr(65533)) AS decoded FROM files", "files")
 _ARCHIVED = """SELECT target_id, path, size_bytes, CASE WHEN starts_with(path, 'node_modules/') THEN NULL ELSE content END AS content FROM archive_members"""
-ORACLES["read_zip_archives"] = ORACLES["read_tar_archives"] = with_(_ARCHIVED, "archive_members")
+ORACLES["read_zip_archives"] = ORACLES["read_tar_archives"] = ORACLES["read_archives_in_ranges"] = with_(_ARCHIVED, "archive_members")
+ORACLES["read_folders"] = with_("SELECT target_id, path, size_bytes, content FROM archive_members WHERE NOT starts_with(path, 'node_modules/') AND NOT starts_with(path, 'lib/.hid/')", "archive_members")
 ORACLES["read_package_manifests"] = with_("""SELECT target_id, cast(count(*) FILTER (WHERE NOT is_dev) AS INTEGER) AS n_main,
     cast(count(*) FILTER (WHERE is_dev) AS INTEGER) AS n_dev FROM (SELECT *, concat('order-', ord) AS target_id FROM items WHERE ord % 29 <> 0) GROUP BY target_id""", "items")
 REQS = f"""SELECT target_id, cast(line AS INTEGER) AS line, {trim_js("text")} AS requirement FROM (

@@ -14,10 +14,10 @@ from argusframe.plans import documents as docs
 from argusframe.plans.scan import Engine, ScanOptions
 from argusframe.session import ensure_checkpoint_dir
 from argusframe.schema import FILES, FINDINGS, as_findings
-from argusframe.sources import archives, reports as rep, results
+from argusframe.sources import archives, reports as rep, results, trees
 from argusframe.sources.rule_catalog import rules_table
 from argusframe.streaming import scan_stream as st, score_state as live
-from crosscheck.inputs import Inputs
+from crosscheck.inputs import Inputs, store_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -71,6 +71,23 @@ def _(i):
     return archives.unpack_archives(i.archives("zip"), "zip", max_bytes=urls.ARCHIVE_MAX_BYTES).select("target_id", "path", "size_bytes", "content")
 
 
+@query("read_archives_in_ranges")
+def _(i):
+    """Archives as files, each dealt to several tasks by ranges of its bytes."""
+    folder = _shared_folder(i.spark, "zips")
+    store_files(i.archives("zip"), folder)
+    return trees.read_archives(i.spark, folder, split_bytes=4096).select("target_id", "path", "size_bytes", "content")
+
+
+@query("read_folders")
+def _(i):
+    """The members of the archives as files in one folder for each target."""
+    folder = _shared_folder(i.spark, "folders")
+    members = i.derive("archive_members")
+    store_files(members.select(F.concat_ws("/", "target_id", "path").alias("path"), F.encode("content", "UTF-8").alias("content")), folder)
+    return trees.read_folders(i.spark, folder).select("target_id", "path", "size_bytes", "content")
+
+
 @query("archive_errors")
 def _(i):
     """Every archive whose name ends in 3 is cut in half."""
