@@ -12,7 +12,6 @@ apart on exploded lines, for callers who want every hit.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -224,40 +223,11 @@ def env_not_ignored(files: DataFrame) -> DataFrame:
     ))
 
 
-_TABLE_RULE = "n int, is_line boolean, pattern string, anti string"
-
-
 def match_rule_table(files: DataFrame, rule_table: DataFrame) -> DataFrame:
     """User rules as a table ``(id, severity, extension, scope, pattern, anti,
     title, description, recommendation)`` with one row per rule and extension
     and Java patterns, which are matched line by line; a line rule reports its
-    first line. Any number of rules goes the same way: they are part of the
-    program, so they are read when the scan is planned and put into it as one
-    literal by extension, and each text is split once for all its rules.
-    Nothing is joined by extension.
+    first line. The table is read and checked when the scan is planned; see ``rule_index`` for how it is matched.
     """
-    rules, by_extension = [], {}
-    numbers: dict[str, int] = {}
-    for row in rule_table.select("id", "severity", "extension", "scope", "pattern", "anti", "title", "description", "recommendation").collect():
-        if row.id not in numbers:
-            numbers[row.id] = len(rules)
-            rules.append(Rule(row.id, row.severity, (), row.scope, row.pattern, title=row.title or "", description=row.description or "",
-                              recommendation=row.recommendation or "", ord=USER_RULE_ORD + len(rules)))
-        by_extension.setdefault(row.extension, []).append(
-            {"n": USER_RULE_ORD + numbers[row.id], "is_line": row.scope == LINE, "pattern": row.pattern, "anti": row.anti})
-    by_extension.pop(None, None)
-    ext = path_extension(F.col("path"))
-    texts = size_cap(prune_paths(files)).filter(ext.isin(list(by_extension)))
-    mine = F.element_at(F.from_json(F.lit(json.dumps(by_extension)), f"map<string,array<struct<{_TABLE_RULE.replace(' ', ':').replace(',:', ',')}>>>"), ext)
-    lines = F.transform(F.split("content", "\n"), lambda text: F.when(~is_suppressed(text), text))
-
-    def hits(held: Column) -> Column:
-        def of_rule(r: Column) -> Column:
-            first = F.array_min(F.transform(held, lambda text, i: F.when(F.rlike(text, r["pattern"]), i + 1)))
-            whole = F.rlike(F.col("content"), r["pattern"]) & ~F.coalesce(F.rlike(F.col("content"), r["anti"]), F.lit(False))
-            line = F.when(r["is_line"], first)
-            return F.when(F.when(r["is_line"], line.isNotNull()).otherwise(whole), F.struct(r["n"].alias("rule_ord"), line.alias("line")))
-        return F.filter(F.transform(mine, of_rule), lambda h: h.isNotNull())
-
-    found = F.get(F.transform(F.array(lines), hits), F.lit(0))
-    return report_rules(texts.select("target_id", "path", F.explode(found).alias("hit")).select("target_id", "path", "hit.rule_ord", "hit.line"), rules)
+    from argusframe.operators.rule_index import index_rules, match_rule_index  # which builds on this module
+    return match_rule_index(files, index_rules(rule_table))

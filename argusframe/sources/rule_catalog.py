@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
+from argusframe.operators.rule_index import index_rules
 from argusframe.operators.rules import AI_RULES, RULES, Rule, check_rules, number_user_rules
 
 _CATALOG_COLUMNS = "rule_ord int, rule_id string, severity string, scope string, extension string, pattern string, anti string, title string"
@@ -37,5 +38,8 @@ def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
 def register_rules(source: list[Rule] | DataFrame) -> list[Rule] | DataFrame:
     """User rules for a scan: a list of ``Rule`` (ECMAScript patterns, unrolled
     into the scan) or a table of Java patterns (``match_rule_table``). The form
-    decides the dialect, the number of rules decides nothing."""
-    return source if isinstance(source, DataFrame) else number_user_rules(source)
+    decides the dialect, the number of rules decides nothing. Both are checked here, every pattern by its own dialect."""
+    if not isinstance(source, DataFrame):
+        return number_user_rules(source)
+    index_rules(source)
+    return source
