@@ -62,18 +62,33 @@ def read_requirements(files: DataFrame) -> DataFrame:
     )
 
 
+def _last_wins(entries: Column) -> Column:
+    """Array of ``struct(package, v)``: a key has its first place and its last value. Places are sorted by key, so the first and the last
+    of each run are known from their neighbours; values stay where they are until the end."""
+    def runs(held: Column) -> Column:
+        other = lambda j: F.get(held, j)["k"]
+        firsts = F.filter(held, lambda x, j: (j == 0) | (other(j - 1) != x["k"]))
+        lasts = F.filter(held, lambda x, j: (j == F.size(held) - 1) | (other(j + 1) != x["k"]))
+        return F.array_sort(F.zip_with(firsts, lasts, lambda a, b: F.struct(a["i"].alias("first"), b["i"].alias("last"))))
+
+    def with_entries(held: Column) -> Column:
+        places = F.array_sort(F.transform(held, lambda e, i: F.struct(e["key"].alias("k"), i.alias("i"))))
+        kept = F.get(F.transform(F.array(places), runs), F.lit(0))
+        return F.transform(kept, lambda p: F.struct(F.get(held, p["first"])["key"].alias("package"), F.get(held, p["last"])["value"].alias("v")))
+
+    return F.get(F.transform(F.array(entries), with_entries), F.lit(0))
+
+
 def merge_dependencies(manifests: DataFrame) -> DataFrame:
     """``(target_id, seq, package, version, kind)`` of both maps; a package
     keeps its first place and takes its last value, so the development map
-    wins. ``kind`` is the JSON type of the version. All within the row."""
+    wins. ``kind`` is the JSON type of the version. All within the row, in the time of a sort."""
     entries = manifests.select("target_id", F.concat("dependencies", "dev_dependencies").alias("entries"))
-    names = F.array_distinct(F.transform("entries", lambda e: e["key"]))
-    named = entries.select("target_id", "entries", F.posexplode(names).alias("seq", "package"))
-    same = F.filter("entries", lambda e: e["key"] == F.col("package"))
-    return named.select("target_id", "seq", "package", F.element_at(same, -1)["value"].alias("v")).select(
-        "target_id", "seq", "package",
-        F.try_variant_get("v", "$", "string").alias("version"),
-        F.schema_of_variant("v").alias("kind"))
+    merged = entries.select("target_id", _last_wins(F.col("entries")).alias("merged"))
+    return merged.select("target_id", F.posexplode("merged").alias("seq", "e")).select(
+        "target_id", "seq", F.col("e.package").alias("package"),
+        F.try_variant_get("e.v", "$", "string").alias("version"),
+        F.schema_of_variant("e.v").alias("kind"))
 
 
 def bad_entries(dependencies: DataFrame) -> DataFrame:

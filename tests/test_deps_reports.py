@@ -73,3 +73,34 @@ def test_stored_results(spark):
     r = spark.createDataFrame([("a", '{"score":7,"grade":"A","findings":[{"title":"x"}],"scanType":"web"}'), ("b", "{}"), ("c", "no")], "target_id string, json string")
     out = read_scan_results(r).selectExpr("target_id", "score", "grade", "size(findings) as n", "scanned_files", "scan_type")
     assert rows(out, "*") == [("a", 7, "A", 1, 0, "web"), ("b", 0, "F", 0, 0, "code")]
+
+
+def test_large_manifest_in_the_time_of_a_sort(spark, make_files):
+    """Places and last values of 100,000 entries, many of them in both maps or twice in one."""
+    import random
+    import time
+
+    from argusframe.operators.deps import merge_dependencies, read_package_manifests
+    rng = random.Random(3)
+
+    def manifest(n):
+        main = [(f"p{rng.randrange(n)}", f"{k}.0") for k in range(n * 3 // 4)]
+        dev = [(f"p{rng.randrange(n)}", f"{k}.1" if k % 50 else "*") for k in range(n // 4)]
+        body = lambda entries: ", ".join(f'"{name}": "{version}"' for name, version in entries)
+        return main + dev, f'{{"dependencies": {{{body(main)}}}, "devDependencies": {{{body(dev)}}}}}'
+
+    def merged(text):
+        start = time.perf_counter()
+        got = merge_dependencies(read_package_manifests(make_files([("t", "package.json", text)]))).orderBy("seq").collect()
+        return got, time.perf_counter() - start
+
+    entries, text = manifest(2000)
+    merged(text)
+    got, _ = merged(text)
+    expected: dict = {}
+    for name, version in entries:
+        expected[name] = version
+    assert [(r.seq, r.package, r.version) for r in got] == [(k, name, version) for k, (name, version) in enumerate(expected.items())]
+    entries, text = manifest(100_000)
+    got, seconds = merged(text)
+    assert len(got) == len({name for name, _ in entries}) and seconds < 30
