@@ -382,6 +382,8 @@ ORACLES["scan_summary"] = with_(
     f"""SELECT s.target_id, 'code' AS scan_type, score, grade, critical, high, medium, low, total, scanned_files FROM scores s
     JOIN (SELECT target_id, count(*) FILTER (WHERE {COUNTED}) AS scanned_files FROM files GROUP BY target_id) c ON c.target_id = s.target_id""",
     "files", **scan_ctes(RULES), meta=RULE_META, env=ENV, **scored_ctes(_CODE_FOUND, "SELECT DISTINCT target_id FROM files"))
+ORACLES["rescan_summary"] = ORACLES["scan_summary"]
+ORACLES["report_files"] = f"SELECT target_id AS folder, sha256(string_agg(text, '' ORDER BY part)) AS sha256 FROM ({ORACLES['markdown_report']}) GROUP BY target_id"
 
 # Secrets
 

@@ -11,10 +11,12 @@ from argusframe.functions import severity as sev, text, urls
 from argusframe.operators import deps, files as fl, merge, sast, score, secrets, skew, web
 from argusframe.operators.rules import AI_RULES, FILE, LINE, RULES, Rule, number_user_rules, prune_rules
 from argusframe.plans import documents as docs
+from argusframe.plans.rescan import rescan
 from argusframe.plans.scan import Engine, ScanOptions
 from argusframe.session import ensure_checkpoint_dir
 from argusframe.schema import FILES, FINDINGS, as_findings
 from argusframe.sources import archives, reports as rep, results, trees
+from argusframe.sources.report_files import write_report_files
 from argusframe.sources.rule_catalog import rules_table
 from argusframe.streaming import scan_stream as st, score_state as live
 from crosscheck.inputs import Inputs, store_files
@@ -181,6 +183,15 @@ def _(i):
 def _(i): return docs.markdown_documents(*_scored(i), REPORT_DATE, part_rows=2000)
 
 
+@query("report_files")
+def _(i):
+    """The documents as one named file for each target, read back from the files."""
+    folder = _shared_folder(i.spark, "reports")
+    write_report_files(docs.markdown_documents(*_scored(i), REPORT_DATE, part_rows=2000), folder)
+    read = i.spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
+    return read.select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("folder"), F.sha2("value", 256).alias("sha256"))
+
+
 @query("html_report")
 def _(i): return docs.html_documents(*_scored(i), REPORT_DATE, part_rows=2000)
 
@@ -331,6 +342,15 @@ def _(i):
     return sast.match_rule_table(_files(i), table).groupBy("target_id", "file", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("rescan_summary")
+def _(i):
+    """Two scans with one store: of all files but those of every third target, then of all."""
+    store = _shared_folder(i.spark, "store")
+    options = ScanOptions(deps=False, secrets=False)
+    rescan(_files(i).filter("NOT endswith(target_id, '3')"), store, options)
+    return rescan(_files(i), store, options).engine.summary().select("target_id", "scan_type", "score", "grade", "critical", "high", "medium", "low", "total", "scanned_files")
+
+
 def _rule_query(rule: Rule) -> Query:
     return lambda spark, sf_dir: sast.scan_sources(_files(Inputs(spark, sf_dir)), [rule]).select(*RULE_COLUMNS)
 
