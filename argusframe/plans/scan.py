@@ -10,10 +10,11 @@ from argusframe.functions.urls import classify_target
 from argusframe.operators.deps import manifest_errors, scan_manifests
 from argusframe.operators.files import MAX_SCAN_BYTES
 from argusframe.operators.merge import dedup_findings, filter_severity, source_cascade, union_scanners
-from argusframe.operators.rules import RULES, Rule, prune_rules
+from argusframe.operators.rules import AI_RULES, RULES, Rule, prune_rules
 from argusframe.operators.sast import env_not_ignored, match_rule_table, report_rules
 from argusframe.operators.score import score_targets
 from argusframe.operators.secrets import SECRET_RULES, report_secrets
+from argusframe.operators.syntax import scan_syntax
 from argusframe.operators.web import scan_web, web_errors
 from argusframe.plans.evidence import file_evidence, new_evidence_path, read_evidence, remove_folder, write_evidence
 from argusframe.schema import FINDINGS
@@ -24,7 +25,7 @@ from argusframe.sources.reports import read_semgrep_report
 class ScanOptions:
     """What to run and what to keep. ``semgrep_root`` is cut from the paths of
     code reports; files over ``max_bytes`` (null: none) are left out by the code
-    rules and listed in ``errors``."""
+    rules and listed in ``errors``; ``syntax`` adds the shipped syntax rules, which read the files once more."""
     secrets: bool = True
     deps: bool = True
     sast: bool = True
@@ -34,6 +35,7 @@ class ScanOptions:
     rule_table: DataFrame | None = None
     semgrep_root: str = ""
     max_bytes: int | None = MAX_SCAN_BYTES
+    syntax: bool = False
 
 
 def with_scan_type(targets: DataFrame) -> DataFrame:
@@ -153,6 +155,10 @@ class Engine:
             if self.files is None:
                 raise ValueError("a rule table needs the files")
             parts.append(match_rule_table(self.files, options.rule_table))
+        if options.syntax:
+            if self.files is None:
+                raise ValueError("syntax rules need the files")
+            parts.append(scan_syntax(self.files, prune_rules(AI_RULES, options.min_severity)))
         built_in = union_scanners(parts)
         if self.reports is None:
             return built_in
@@ -162,7 +168,7 @@ class Engine:
         external = dedup_findings(read_semgrep_report(self.reports, options.semgrep_root))
         keys = ("target_id", "file", "rule_id")
         taken = external.select(*keys, F.coalesce("line", F.lit(0)).alias("_line"))
-        if options.rule_table is None:
+        if options.rule_table is None and not options.syntax:
             taken = taken.filter(F.col("rule_id").isin(*[r.id for r in options.rules]))
         kept = built_in.withColumn("_line", F.coalesce("line", F.lit(0))).join(
             taken.distinct(), [*keys, "_line"], "left_anti")

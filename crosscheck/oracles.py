@@ -382,6 +382,10 @@ ORACLES["scan_summary"] = with_(
     f"""SELECT s.target_id, 'code' AS scan_type, score, grade, critical, high, medium, low, total, scanned_files FROM scores s
     JOIN (SELECT target_id, count(*) FILTER (WHERE {COUNTED}) AS scanned_files FROM files GROUP BY target_id) c ON c.target_id = s.target_id""",
     "files", **scan_ctes(RULES), meta=RULE_META, env=ENV, **scored_ctes(_CODE_FOUND, "SELECT DISTINCT target_id FROM files"))
+ORACLES["syntax_rules"] = """SELECT source AS target_id, concat('d', doc_id, '.js') AS file, breaks + CASE doc_id % 4 WHEN 3 THEN 3 ELSE 2 END AS line,
+    CASE doc_id % 4 WHEN 0 THEN 'ai/express-no-helmet' WHEN 2 THEN 'ai/unvalidated-redirect' ELSE 'ai/raw-sql-concatenation' END AS rule_id,
+    CASE doc_id % 4 WHEN 3 THEN 'high' ELSE 'medium' END AS severity
+  FROM (SELECT *, cast(length(t) - length(replace(t, chr(10), '')) AS INTEGER) AS breaks FROM (SELECT doc_id, source, coalesce(text, '') AS t FROM documents)) WHERE doc_id % 4 <> 1"""
 ORACLES["rescan_summary"] = ORACLES["scan_summary"]
 ORACLES["report_files"] = f"SELECT target_id AS folder, sha256(string_agg(text, '' ORDER BY part)) AS sha256 FROM ({ORACLES['markdown_report']}) GROUP BY target_id"
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from argusframe.functions import severity as sev, text, urls
-from argusframe.operators import deps, files as fl, merge, sast, score, secrets, skew, web
+from argusframe.operators import deps, files as fl, merge, sast, score, secrets, skew, syntax, web
 from argusframe.operators.rules import AI_RULES, FILE, LINE, RULES, Rule, number_user_rules, prune_rules
 from argusframe.plans import documents as docs
 from argusframe.plans.rescan import rescan
@@ -342,6 +342,18 @@ def _(i):
     return sast.match_rule_table(_files(i), table).groupBy("target_id", "file", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("syntax_rules")
+def _(i):
+    """Every document as a comment in front of code that is laid over lines; which code its number decides."""
+    code = F.element_at(F.array(*[F.lit(c) for c in (
+        "const app =\n express()\n", "const app = express()\napp\n.use(\n helmet())\n", "res\n.redirect( // so\nreq.query.u)\n", "x = 'jwt.sign(a, \"b\")'\ndb.query(\n'a' +\n x)\n")]),
+        (F.col("doc_id") % 4 + 1).cast("int"))
+    remark = F.concat(F.lit("/* "), F.replace(F.coalesce("text", F.lit("")), F.lit("*/"), F.lit("")), F.lit(" */\n"))
+    texts = i.table("documents").select(F.col("source").alias("target_id"), F.concat(F.lit("d"), F.col("doc_id"), F.lit(".js")).alias("path"),
+                                        F.lit(0).alias("size_bytes"), F.concat(remark, code).alias("content"))
+    return syntax.scan_syntax(texts).select("target_id", "file", "line", "rule_id", "severity")
+
+
 @query("rescan_summary")
 def _(i):
     """Two scans with one store: of all files but those of every third target, then of all."""
