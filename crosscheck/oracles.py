@@ -262,17 +262,13 @@ ORACLES["json_documents"] = scored("""SELECT g.target_id, g.part, g.parts, cast(
 NL = "chr(10)"
 _SEV_NUMBERED = f"""SELECT f.*, row_number() OVER (PARTITION BY target_id ORDER BY {RANK}, {EMITTED}) AS n,
     row_number() OVER (PARTITION BY target_id, severity ORDER BY {EMITTED}) AS in_severity FROM findings f WHERE {KNOWN}"""
-_ICON = "CASE f.severity WHEN 'critical' THEN '🔴 Critical' WHEN 'high' THEN '🟠 High' WHEN 'medium' THEN '🟡 Medium' ELSE '🔵 Low' END"
 _OF_SEV = "CASE f.severity WHEN 'critical' THEN s.critical WHEN 'high' THEN s.high WHEN 'medium' THEN s.medium ELSE s.low END"
-_MD_ITEM = f"""concat(CASE WHEN in_severity = 1 THEN concat('## ', {_ICON}, ' Issues (', {_OF_SEV}, ')', {NL}, {NL}) ELSE '' END,
-    '### ', f.title, {NL}, {NL}, f.description, {NL}, {NL},
-    CASE WHEN f.file IS NULL THEN '' ELSE concat('**Location:** `', f.file, '`', CASE WHEN coalesce(f.line, 0) = 0 THEN '' ELSE concat(' (line ', f.line, ')') END, {NL}, {NL}) END,
-    '**Recommendation:** ', f.recommendation, {NL}, {NL}, '---', {NL}, {NL})"""
-_MD_HEAD = f"""concat('# Security Report', {NL}, {NL}, '**Date:** {REPORT_DATE}  ', {NL}, '**Target:** `', g.target_id, '`  ', {NL}, '**Scan Duration:** 0.5s  ', {NL}, {NL},
-    '## Security Score: ', g.score, '/100 (', g.report_grade, ')', {NL}, {NL},
-    CASE WHEN g.total = 0 THEN concat('Nothing was found.', {NL}, {NL}) ELSE concat('| Severity | Count |', {NL}, '|----------|-------|', {NL},
-      {", ".join(f"CASE WHEN g.{s} > 0 THEN concat('| {s.capitalize()} | ', g.{s}, ' |', {NL}) ELSE '' END" for s in sev.SEVERITIES)},
-      '| **Total** | **', g.total, '** |', {NL}, {NL}) END)"""
+_MD_ITEM = f"""concat(CASE WHEN in_severity = 1 THEN concat('## ', f.severity, ': ', {_OF_SEV}, {NL}, {NL}) ELSE '' END, '- **', f.title, '**',
+    CASE WHEN f.file IS NULL THEN '' ELSE concat(' in `', f.file, '`', CASE WHEN coalesce(f.line, 0) = 0 THEN '' ELSE concat(', line ', f.line) END) END,
+    {NL}, '  ', f.description, {NL}, '  *Fix:* ', f.recommendation, {NL}, {NL})"""
+_MD_HEAD = f"""concat('# ', g.target_id, ': ', g.score, ' of 100, grade ', g.report_grade, {NL}, {NL}, 'Scanned on {REPORT_DATE} in 0.5s. ',
+    CASE WHEN g.total = 0 THEN 'Nothing was found' ELSE concat(g.total, ' findings',
+      {", ".join(f"CASE WHEN g.{s} > 0 THEN concat(', ', g.{s}, ' {s}') ELSE '' END" for s in sev.SEVERITIES)}) END, '.', {NL}, {NL})"""
 
 
 def _document(item: str, numbered: str, head: str, tail: str) -> str:

@@ -95,8 +95,8 @@ def test_documents_in_parts_read_on(spark):
                  lambda n: docs.json_documents(found, summary, n)):
         assert whole(make, 2) == whole(make, 100)
     md = whole(lambda n: docs.markdown_documents(found, summary, "2026-01-01", n), 2)
-    assert md["t"].index("### t2") < md["t"].index("### t4") < md["t"].index("### t3") < md["t"].index("### t1") < md["t"].index("### t5")
-    assert md["t"].count("Critical Issues (2)") == 1 and "Nothing was found." in md["none"] and "Location" not in md["one"]
+    assert md["t"].index("**t2**") < md["t"].index("**t4**") < md["t"].index("**t3**") < md["t"].index("**t1**") < md["t"].index("**t5**")
+    assert md["t"].count("## critical: 2\n") == 1 and "Nothing was found." in md["none"] and " in `" not in md["one"]
     parsed = json.loads(whole(lambda n: docs.json_documents(found, summary, n), 2)["t"])
     assert [f["ruleId"] for f in parsed["findings"]] == ["r1", "r2", "r3", "r4", "r5"] and parsed["counts"]["critical"] == 2
     assert json.loads(whole(lambda n: docs.json_documents(found, summary, n), 2)["one"])["findings"][0]["file"] is None
