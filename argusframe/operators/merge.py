@@ -11,7 +11,7 @@ from argusframe.functions.severity import SEVERITIES, severity_rank
 from argusframe.operators.deps import LOCK_FILES, PACKAGE_MANIFEST, REQUIREMENTS, scan_manifests
 from argusframe.schema import FINDING_COLUMNS, as_findings
 from argusframe.session import cut_lineage
-from argusframe.sources.reports import read_npm_audit_report, read_trivy_report
+from argusframe.sources.reports import parse_reports, read_npm_audit_report, read_trivy_report
 
 # Result order of findings inside a target; files by path.
 EMISSION_ORDER = ("scanner_ord", "file", "rule_ord", "seq", "line", "rule_id", "title", "description", "severity")
@@ -48,7 +48,7 @@ def best_sources(files: DataFrame, reports: DataFrame) -> DataFrame:
     source that succeeded: a readable Trivy report, a readable npm report of a
     target with a package-lock.json, else the built-in checks. Targets on the
     built-in checks are left out."""
-    readable = F.try_parse_json("json").isNotNull()
+    readable = F.col("readable") if "readable" in reports.columns else F.try_parse_json("json").isNotNull()
     have = reports.filter(F.col("source").isin("trivy", "npm-audit") & readable).select(
         "target_id", (F.col("source") == "trivy").alias("trivy"), (F.col("source") == "npm-audit").alias("npm"), F.lit(False).alias("locked"))
     locks = files.filter(F.col("path") == "package-lock.json").select(
@@ -61,10 +61,11 @@ def source_cascade(files: DataFrame, reports: DataFrame) -> DataFrame:
     """Dependency findings of each target's best source only; a source that
     succeeded with nothing found still silences the later ones. Reports and
     manifests are chosen before they are taken apart into findings, while they
-    are a few rows per target. The choice is written down, since every branch
-    asks for it and it reads all reports."""
-    best = cut_lineage(best_sources(files, reports))
-    chosen = reports.join(best, "target_id").filter(
+    are a few rows per target. Reports are parsed once and written down parsed, and so is the choice, since every branch
+    asks for both."""
+    parsed = cut_lineage(parse_reports(reports.filter(F.col("source").isin(*SOURCE_RANK))))
+    best = cut_lineage(best_sources(files, parsed))
+    chosen = parsed.join(best, "target_id").filter(
         ((F.col("source") == "trivy") & (F.col("best") == SOURCE_RANK["trivy"]))
         | ((F.col("source") == "npm-audit") & (F.col("best") == SOURCE_RANK["npm-audit"])))
     manifests = files.filter(F.col("path").isin(PACKAGE_MANIFEST, REQUIREMENTS, *LOCK_FILES))

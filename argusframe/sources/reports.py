@@ -1,7 +1,8 @@
 """JSON reports of other scanners -> findings.
 
 ``reports`` holds ``(target_id, source, json)``. Every mapping is row-local:
-parse, explode, project.
+parse, explode, project. ``parse_reports`` parses each report once, by the schema of its source; the readers take such a table as well
+as one that is not parsed.
 """
 
 from __future__ import annotations
@@ -19,13 +20,33 @@ TRIVY = """Results array<struct<Target:string,Vulnerabilities:array<struct<Vulne
 NPM = "vulnerabilities map<string,variant>"
 
 
+SCHEMAS = {"semgrep": SEMGREP, "trivy": TRIVY, "npm-audit": NPM}
+PARSED = {"semgrep": "semgrep_doc", "trivy": "trivy_doc", "npm-audit": "npm_doc"}
+
+
+def parse_reports(reports: DataFrame) -> DataFrame:
+    """``(target_id, source, semgrep_doc, trivy_doc, npm_doc, readable)``: each report as its source's document, the others null.
+
+    ``readable`` is true for any JSON, also where its fields have other types; only a report that gave no document is
+    parsed a second time to see that. The generator keeps later filters from parsing again."""
+    docs = [F.when(F.col("source") == source, F.from_json("json", SCHEMAS[source])).alias(name) for source, name in PARSED.items()]
+    parsed = reports.select("target_id", "source", "json", F.explode(F.array(F.struct(*docs))).alias("doc"))
+    typed = F.lit(False)
+    for source, (name, field) in {"semgrep": ("semgrep_doc", "results"), "trivy": ("trivy_doc", "Results"), "npm-audit": ("npm_doc", "vulnerabilities")}.items():
+        typed = typed | ((F.col("source") == source) & F.coalesce(F.col("doc")[name][field].isNotNull(), F.lit(False)))
+    readable = F.when(typed, True).otherwise(F.try_parse_json("json").isNotNull())
+    return parsed.select("target_id", "source", "doc.*", readable.alias("readable"))
+
+
 def _of_source(reports: DataFrame, source: str) -> DataFrame:
-    return reports.filter(F.col("source") == source)
+    """``(target_id, doc)`` of the reports of a source."""
+    mine = reports.filter(F.col("source") == source)
+    return mine.select("target_id", (F.col(PARSED[source]) if PARSED[source] in reports.columns else F.from_json("json", SCHEMAS[source])).alias("doc"))
 
 
 def read_semgrep_report(reports: DataFrame, root: str = "") -> DataFrame:
     rows = _of_source(reports, "semgrep").select(
-        "target_id", F.posexplode(F.from_json("json", SEMGREP)["results"]).alias("seq", "r"))
+        "target_id", F.posexplode("doc.results").alias("seq", "r"))
     check = F.col("r.check_id")
     path = relative_path(F.col("r.path"), root) if root else F.col("r.path")
     return as_findings(rows.select(
@@ -41,7 +62,7 @@ def read_semgrep_report(reports: DataFrame, root: str = "") -> DataFrame:
 
 def read_trivy_report(reports: DataFrame) -> DataFrame:
     results = _of_source(reports, "trivy").select(
-        "target_id", F.posexplode(F.from_json("json", TRIVY)["Results"]).alias("rpos", "r"))
+        "target_id", F.posexplode("doc.Results").alias("rpos", "r"))
     rows = results.select(
         "target_id", "rpos", F.col("r.Target").alias("t"), F.posexplode("r.Vulnerabilities").alias("vpos", "v"))
     package, fixed = F.col("v.PkgName"), F.col("v.FixedVersion")
@@ -62,7 +83,7 @@ def read_trivy_report(reports: DataFrame) -> DataFrame:
 
 def read_npm_audit_report(reports: DataFrame) -> DataFrame:
     rows = _of_source(reports, "npm-audit").select(
-        "target_id", F.posexplode(F.from_json("json", NPM)["vulnerabilities"]).alias("seq", "package", "advisory"))
+        "target_id", F.posexplode("doc.vulnerabilities").alias("seq", "package", "advisory"))
     rows = rows.select(
         "target_id", "seq", "package",
         F.try_variant_get("advisory", "$.severity", "string").alias("level"),

@@ -104,3 +104,25 @@ def test_large_manifest_in_the_time_of_a_sort(spark, make_files):
     entries, text = manifest(100_000)
     got, seconds = merged(text)
     assert len(got) == len({name for name, _ in entries}) and seconds < 30
+
+
+def test_reports_are_parsed_once(spark, make_files):
+    """Odd and broken reports come out alike, parsed before or not; the cascade's plan parses nothing again."""
+    from argusframe.operators.merge import best_sources, source_cascade
+    from argusframe.sources.reports import parse_reports, read_npm_audit_report, read_semgrep_report, read_trivy_report
+    texts = {
+        "semgrep": ['{"results": [{"check_id": "a.b", "path": "x.js", "start": {"line": 3}, "extra": {"severity": "ERROR"}}]}', '{"results": 5}', "no json"],
+        "trivy": ['{"Results": [{"Target": "t", "Vulnerabilities": [{"VulnerabilityID": "C", "PkgName": "p", "Severity": "HIGH"}]}, {"Target": "u"}]}', '{"Results": []}', "[1, 2]", "7", "{", ""],
+        "npm-audit": ['{"vulnerabilities": {"z": {"severity": "high", "via": [{"title": "bad"}]}, "a": {"severity": "low", "via": ["z"], "fixAvailable": true}}}', '{"vulnerabilities": []}', "null", None],
+    }
+    rows_ = [(f"{source}{k}", source, text) for source, some in texts.items() for k, text in enumerate(some)] + [("trivy0", "npm-audit", texts["npm-audit"][0]), ("trivy4", "npm-audit", texts["npm-audit"][0])]
+    reports = spark.createDataFrame(rows_, "target_id string, source string, json string")
+    files = make_files([(t, "package-lock.json", "") for t, _, _ in rows_] + [("semgrep0", "package.json", '{"dependencies": {"x": "*"}}')])
+    parsed = parse_reports(reports)
+    for read in (read_semgrep_report, read_trivy_report, read_npm_audit_report):
+        assert rows(read(parsed), "*") == rows(read(reports), "*") != []
+    assert rows(best_sources(files, parsed), "*") == rows(best_sources(files, reports), "*")
+    found = source_cascade(files, reports)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "parse_json" not in plan.replace("from_json", "") and "StructField(VulnerabilityID" not in plan and "StructField(vulnerabilities" not in plan
+    assert {r.target_id for r in found.collect()} == {"trivy0", "trivy4", "npm-audit0", "semgrep0"}
