@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from argusframe.functions.text import trim_space
@@ -15,6 +17,12 @@ ARCHIVE_SUFFIX = ".zip"
 ARCHIVE_MAX_BYTES = 50 * 1024 * 1024
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value worked out once a row, however often ``then`` names it. An expression that is only repeated in
+    branches is worked out in each of them, and those nest here."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def classify_target(target: Column) -> Column:
     """``web`` for an http(s) address or anything that begins like
     ``label.tld``, else ``code``."""
@@ -43,20 +51,18 @@ _ADDRESS = r"(?i)^https?:[/\\]*(?:[^/\\?#]*@)?((?:[^/\\?#:@\s<>^|%\[\]]|%[0-9a-f
 def url_host(url: Column) -> Column:
     """Lower-cased host, null when the address cannot be read. Addresses that
     begin ``http`` but hold no scheme are invalid."""
-    host = F.regexp_extract(url, _ADDRESS, 1)
-    port = F.regexp_extract(url, _ADDRESS, 2)
-    usable = (host != "") & F.coalesce((port == "") | (port.try_cast("decimal(38,0)") <= 65535), F.lit(False))
-    return F.when(usable, _canonical_host(F.lower(host)))
+    def of(address: Column) -> Column:
+        host, port = F.regexp_extract(address, _ADDRESS, 1), F.regexp_extract(address, _ADDRESS, 2)
+        usable = lambda p: (p == "") | (p.try_cast("decimal(38,0)") <= 65535)
+        return _once(host, lambda h: F.when((h != "") & F.coalesce(_once(port, usable), F.lit(False)), _canonical_host(F.lower(h))))
+
+    return _once(url, of)
 
 
 def _canonical_host(host: Column) -> Column:
     """``host`` with percent codes decoded and, where its last part is a number,
     as four decimal parts: ``127.1``, ``2130706433`` and ``0x7f.0.0.1`` are all
     ``127.0.0.1``. Null where that is no host."""
-    plain = F.when(F.contains(host, F.lit("%")), F.lower(F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B"))))).otherwise(host)
-    plain = F.when(~plain.rlike(r"[/\\?#:@\s<>^|%]") | F.startswith(plain, F.lit("[")), plain)
-    parts = F.split(F.regexp_replace(plain, r"\.\z", ""), r"\.")
-
     def number(part: Column) -> Column:
         digits = F.when(part.rlike(r"^0x[0-9a-f]*$"), F.conv(F.concat(F.lit("0"), F.substr(part, F.lit(3))), 16, 10)) \
             .when(part.rlike(r"^0[0-7]+$"), F.conv(part, 8, 10)).when(part.rlike(r"^(?:0|[1-9][0-9]*)$"), part)
@@ -68,11 +74,17 @@ def _canonical_host(host: Column) -> Column:
         head = F.slice(values, F.lit(1), n - 1)
         fits = (n <= 4) & ~F.exists(values, lambda v: v.isNull()) & F.forall(head, lambda v: v <= 255) & (last < F.pow(F.lit(256), 5 - n))
         total = F.aggregate(F.transform(head, lambda v, i: v * F.pow(F.lit(256), 3 - i).cast("bigint")), last, lambda a, v: a + v)
-        bytes_ = [F.shiftright(total, bits).bitwiseAND(F.lit(255)).cast("string") for bits in (24, 16, 8, 0)]
-        return F.when(fits, F.concat_ws(".", *bytes_))
+        quad = lambda t: F.concat_ws(".", *[F.shiftright(t, bits).bitwiseAND(F.lit(255)).cast("string") for bits in (24, 16, 8, 0)])
+        return F.when(fits, _once(total, quad))
 
-    is_number = F.element_at(parts, -1).rlike(r"^(?:[0-9]+|0x[0-9a-f]*)$")
-    return F.when(is_number, F.get(F.transform(F.array(F.transform(parts, number)), dotted), F.lit(0))).otherwise(plain)
+    def of(plain: Column) -> Column:
+        parts = F.split(F.regexp_replace(plain, r"\.\z", ""), r"\.")
+        is_number = lambda ps: F.element_at(ps, -1).rlike(r"^(?:[0-9]+|0x[0-9a-f]*)$")
+        return _once(parts, lambda ps: F.when(is_number(ps), _once(F.transform(ps, number), dotted)).otherwise(plain))
+
+    decoded = lambda h: F.when(F.contains(h, F.lit("%")), F.lower(F.try_url_decode(F.replace(h, F.lit("+"), F.lit("%2B"))))).otherwise(h)
+    clean = lambda p: F.when(~p.rlike(r"[/\\?#:@\s<>^|%]") | F.startswith(p, F.lit("[")), p)
+    return _once(host, lambda h: _once(decoded(h), lambda p: _once(clean(p), of)))
 
 
 def url_path(url: Column) -> Column:
@@ -81,29 +93,34 @@ def url_path(url: Column) -> Column:
 
 def admit_url(target: Column) -> Column:
     """``struct(admitted, reason)`` for a site to be scanned."""
-    host = url_host(_with_scheme(trim_space(target)))
-    private = host.isin(*BLOCKED_HOSTS) | F.endswith(host, F.lit(BLOCKED_SUFFIX))
-    for prefix in BLOCKED_PREFIXES:
-        private = private | F.startswith(host, F.lit(prefix))
-    reason = F.when(host.isNull(), "invalid url").when(private, "private address")
-    return F.struct(reason.isNull().alias("admitted"), reason.alias("reason"))
+    def reason_of(host: Column) -> Column:
+        private = host.isin(*BLOCKED_HOSTS) | F.endswith(host, F.lit(BLOCKED_SUFFIX))
+        for prefix in BLOCKED_PREFIXES:
+            private = private | F.startswith(host, F.lit(prefix))
+        return F.when(host.isNull(), "invalid url").when(private, "private address")
+
+    host = _once(trim_space(target), lambda text: url_host(_with_scheme(text)))
+    return _once(_once(host, reason_of), lambda reason: F.struct(reason.isNull().alias("admitted"), reason.alias("reason")))
 
 
 def canonical_repo(target: Column) -> Column:
     """``struct(owner, repo, reason)`` of a repository address."""
     text = F.regexp_replace(F.regexp_replace(trim_space(target), r"\.git\z", ""), r"/+\z", "")
-    address = _with_scheme(text)
-    host = url_host(address)
-    parts = F.split(F.regexp_replace(url_path(address), r"^[/\\]+", ""), r"[/\\]")
-    owner, repo = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    missing = (F.coalesce(owner, F.lit("")) == "") | (F.coalesce(repo, F.lit("")) == "")
-    reason = (
-        F.when(host.isNull(), "invalid url")
-        .when(~host.isin(*CODE_HOSTS), "unsupported host")
-        .when(missing, "owner and repository required")
-    )
-    clean = lambda part: F.when(reason.isNull(), F.regexp_replace(part, r"[^a-zA-Z0-9_.-]", ""))
-    return F.struct(clean(owner).alias("owner"), clean(repo).alias("repo"), reason.alias("reason"))
+    parts_of = lambda address: F.split(F.regexp_replace(url_path(address), r"^[/\\]+", ""), r"[/\\]")
+
+    def judged(host: Column, parts: Column) -> Column:
+        owner, repo = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+        missing = (F.coalesce(owner, F.lit("")) == "") | (F.coalesce(repo, F.lit("")) == "")
+        reason = (
+            F.when(host.isNull(), "invalid url")
+            .when(~host.isin(*CODE_HOSTS), "unsupported host")
+            .when(missing, "owner and repository required")
+        )
+        clean = lambda part, why: F.when(why.isNull(), F.regexp_replace(part, r"[^a-zA-Z0-9_.-]", ""))
+        return _once(reason, lambda why: F.struct(clean(owner, why).alias("owner"), clean(repo, why).alias("repo"), why.alias("reason")))
+
+    address = _once(text, _with_scheme)
+    return _once(address, lambda a: _once(url_host(a), lambda host: _once(parts_of(a), lambda parts: judged(host, parts))))
 
 
 def admit_archive(name: Column, size: Column) -> Column:

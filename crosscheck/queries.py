@@ -52,6 +52,15 @@ def _shared_folder(spark: SparkSession, what: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def _land(rows: DataFrame, folder: str, batches: int, *by: str) -> int:
+    """Write rows as the files that a stream finds, and say how many of them make one of so many batches. There are as many files as a
+    shuffle has partitions, so no task holds a fixed share of the input."""
+    spark = rows.sparkSession
+    each = -(-max(4, int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) // batches)
+    rows.repartition(each * batches, *by).write.parquet(folder)
+    return each
+
+
 # Sources and sinks
 
 @query("prune_paths")
@@ -705,7 +714,7 @@ def _(i):
 def _(i):
     source, out, state = (_shared_folder(i.spark, x) for x in ("requests", "admitted", "state"))
     rows = i.derive("requests")
-    rows.repartition(4).write.parquet(source)
+    _land(rows, source, 1)
     stream = i.spark.readStream.schema(rows.schema).parquet(source)
     st.start_admission(stream, out, state).awaitTermination()
     return i.spark.read.schema("request_id bigint, kind string, admitted boolean, reason string").parquet(out)

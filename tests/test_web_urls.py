@@ -93,3 +93,14 @@ def test_hosts_in_other_spellings(spark):
     assert {t: got[t] for t in private} == dict.fromkeys(private, "private address")
     assert {t: got[t] for t in invalid if t != "http://999"} == {t: "invalid url" for t in invalid if t != "http://999"}
     assert {t: got[t] for t in fine} == dict.fromkeys(fine)
+
+
+def test_address_steps_are_planned_once(spark):
+    """The plan of a request grows with the steps, not with the branches that ask for their results."""
+    from argusframe.streaming.scan_stream import stream_admission
+    requests = spark.createDataFrame([(1, "website", "http://127.1/", 5), (2, "repo", "github.com/a/b.git", 5), (3, "repo", "github.com/a", 5)],
+                                     "request_id long, kind string, target string, size long")
+    admitted = stream_admission(requests)
+    assert rows(admitted, "request_id", "reason") == [(1, "private address"), (2, None), (3, "owner and repository required")]
+    plan = admitted.select("reason")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") <= 10
