@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import pickle
 import random
 
 import pytest
@@ -103,3 +104,17 @@ def test_a_job_that_fails_leaves_nothing(spark, tmp_path):
 def test_folder_names():
     assert folder_name(".") == "%2E" and folder_name("..") == "%2E%2E" and folder_name("a/b") == "a%2Fb" and folder_name(None) == folder_name("") == "%00"
     assert len(folder_name("é" * 500)) < 255 and folder_name("x" * 400 + "a") != folder_name("x" * 400 + "b")
+
+
+def test_names_of_written_files_stay_out_of_the_driver(tmp_path):
+    from argusframe.sources.report_files import ReportWriter
+    from argusframe.sources.trees import side_by_side
+    writer = ReportWriter(str(tmp_path), "j")
+    few, many = (writer.write((f"{kind}{k} ü", "r.md", "x") for k in range(n)) for kind, n in (("a", 2), ("b", 500)))
+    assert abs(len(pickle.dumps(many)) - len(pickle.dumps(few))) < 8
+    writer.commit([few, None, many, writer.write(iter(()))])
+    assert len(list(tmp_path.rglob("r.md"))) == json.loads((tmp_path / MANIFEST).read_text())["files"] == 502
+    begun = []
+    done = side_by_side(lambda x: begun.append(x) or x, range(10_000), 4)
+    assert [next(done) for _ in range(3)] == [0, 1, 2] and len(begun) < 100
+    assert sum(1 for _ in done) == 9_997
