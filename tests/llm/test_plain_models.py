@@ -9,12 +9,13 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from argusframe.llm.byte_cnn import PAD, ByteCnn, ByteCnnParams
 from argusframe.llm.labelled import labelled_sample
 from argusframe.llm.quality_rules import WORDS, QualityLimits, distance, good_documents, quality_rules
 from argusframe.llm.sharding import WEIGHTS, pack_vectors, vector_sharding
-from argusframe.llm.text_cnn import TextCnn, TextCnnParams, score_toxicity, toxicity_classifier, word_ids
+from argusframe.llm.text_cnn import TextCnn, TextCnnParams, fit_toxicity, score_toxicity, toxicity_classifier, word_counts, word_ids
 
 
 def byte_logit(model: ByteCnn, text: bytes) -> float:
@@ -242,3 +243,18 @@ def test_distances_and_verdicts_equal_plain_ones(spark):
 def test_distance_of_nothing():
     assert distance(np.array([[0, 0], [1, 1]]), np.array([0, 0])).tolist() == [0.0, 0.0]
     assert distance(np.array([[0, 5], [5, 0]]), np.array([5, 0])) == pytest.approx([1.0, 0.0])
+
+
+def test_every_labelled_text_is_fitted(spark):
+    """A word that only texts of over 32 KB have, and more rows of a label than ``per_label``."""
+    rng = random.Random(3)
+    docs = [(k, " ".join(rng.choice(["ra", "ne", "to"]) + rng.choice("abc") for _ in range(8000 if k % 4 == 3 else 12)) + (" grobian" if k % 4 == 3 else ""), "en") for k in range(200)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 3)) for k, _, _ in docs], "doc_id long, toxic int")
+    frame = spark.createDataFrame(docs + [(900, "ra grobian", "en"), (901, "ra ne", "en")], "doc_id long, text string, lang string")
+    model, limits = fit_toxicity(frame, labels, 5, 0, TextCnnParams(bits=12, per_label=2, max_bytes=100))
+    fitted = {r.word for r in word_counts(frame.filter("doc_id < 200").withColumn("label", F.lit(1))).collect()}
+    assert {w for w in model.print.view(np.int64).tolist() if w} == fitted and len(fitted) == 10
+    scores = {r.doc_id: r.score for r in score_toxicity(frame, model).collect()}
+    assert scores[900] > 0.5 > scores[901] and set(limits) == {"en"}
+    again, _ = fit_toxicity(frame.repartition(7), labels.repartition(3), 5, 0, TextCnnParams(bits=12))
+    assert np.array_equal(again.emb, model.emb) and again.base == model.base
