@@ -108,19 +108,26 @@ _TRY = ["pair", "na", "nb", "guess", "begun", "try", "w"]
 
 def _peeled(pairs: DataFrame, row: str) -> DataFrame:
     """Cells that are left, and digests that were found, of every try of ``pairs`` (row, pair, a, b); rows are dealt by ``row`` and stay where they are."""
-    narrowest = f"least({width('size(a)')}, {width('size(b)')})"
-    differing = pairs.select(row, "pair", F.size("a").alias("na"), F.size("b").alias("nb"), F.expr(narrowest).alias("least"),
-                             F.expr("concat(transform(array_except(a, b), d -> named_struct('k', d, 's', 1)), transform(array_except(b, a), d -> named_struct('k', d, 's', -1)))").alias("only"))
-    tries = differing.select("*", F.posexplode(F.expr(f"array(greatest({LEAST_WIDTH}, least DIV 4), least)")).alias("try", "w"))
-    in_use = f"size(array_distinct(flatten(transform(only, d -> {cells_of('d.k', 'w')}))))"
-    tries = tries.withColumn("used", F.expr(in_use))
+    # The sketches of both sides, each at its own width; those of b count backwards.
+    sides = F.array(F.struct(F.col("a").alias("keys"), F.lit(1).alias("s")), F.struct(F.col("b").alias("keys"), F.lit(-1).alias("s")))
+    each = pairs.select(row, "pair", F.size("a").alias("na"), F.size("b").alias("nb"), F.explode(sides).alias("x")).select(row, "pair", "na", "nb", "x.*")
+    sized = each.select(row, "pair", "na", "nb", F.expr(width("size(keys)")).alias("w"), F.expr(f"concat({_MARK}, transform(keys, d -> named_struct('k', d, 's', s)))").alias("keys"))
+    by = [row, "pair", "na", "nb", "w"]
+    sketches = _summed(_dealt(sized, by), by).withColumnRenamed("w", "own")
+    # One taken from the other, at the width of the smaller one and at a quarter of it.
+    narrowest = f"least({width('na')}, {width('nb')})"
+    tries = sketches.select("*", F.posexplode(F.expr(f"array(greatest({LEAST_WIDTH}, {narrowest} DIV 4), {narrowest})")).alias("try", "w"))
+    folded = F.expr("IF(cell < 0, cell, (cell DIV own) * w + ((cell % own) & (w - 1)))")
+    by = [row, "pair", "na", "nb", "try", "w"]
+    left = _summed(tries.select(*by, folded.alias("cell"), "n", "k", "c"), by).filter("cell < 0 OR n <> 0 OR k <> 0 OR c <> 0")
+    tries = left.groupBy(*by).agg(F.collect_list(F.when(F.col("cell") >= 0, F.struct("cell", "n", "k", "c"))).alias("cells")).withColumn("used", F.size("cells"))
     # Digests that would leave as many cells empty: w of them leave one in e.
     guess = F.expr(f"CAST(round(-w * ln(greatest(0.5D, {TABLES} * w - used) / ({TABLES} * w))) AS INT)")
     tries = tries.withColumn("guess", F.least(F.col("na") + F.col("nb"), F.greatest(F.abs(F.col("na") - F.col("nb")), guess)))
     tries = tries.withColumn("begun", F.expr(f"used <= {1 - EMPTY_SHARE} * {TABLES} * w"))
-    sets = tries.select(row, *_TRY, F.expr(f"IF(begun, concat({_MARK}, only), {_MARK})").alias("keys"))
+    mark = "array(named_struct('cell', -1L, 'n', 0, 'k', 0L, 'c', 0L))"
     by = [row, *_TRY]
-    return _peel(_summed(_dealt(sets, by), by), by)
+    return _peel(tries.select(*by, F.explode(F.expr(f"IF(begun, concat({mark}, cells), {mark})")).alias("x")).select(*by, "x.*"), by)
 
 
 def recovered_digests(pairs: DataFrame, row: str) -> DataFrame:

@@ -15,6 +15,7 @@ from argusframe.llm.byte_cnn import PAD, ByteCnn, ByteCnnParams
 from argusframe.llm.labelled import labelled_sample
 from argusframe.llm.quality_rules import WORDS, QualityLimits, distance, good_documents, quality_rules
 from argusframe.llm.sharding import WEIGHTS, pack_vectors, vector_sharding
+from argusframe.llm.sketches import likeness, recovered_digests
 from argusframe.llm.text_cnn import TextCnn, TextCnnParams, fit_toxicity, score_toxicity, toxicity_classifier, word_counts, word_ids
 
 
@@ -258,3 +259,11 @@ def test_every_labelled_text_is_fitted(spark):
     assert scores[900] > 0.5 > scores[901] and set(limits) == {"en"}
     again, _ = fit_toxicity(frame.repartition(7), labels.repartition(3), 5, 0, TextCnnParams(bits=12))
     assert np.array_equal(again.emb, model.emb) and again.base == model.base
+
+
+def test_sketches_are_subtracted_not_sets(spark):
+    """A digest that is twice in one sketch and once in the other is left once."""
+    pairs = spark.createDataFrame([(1, 0, [7, 7, 8], [7, 9]), (2, 0, [5], [5])], "row long, pair int, a array<long>, b array<long>").repartition("row")
+    assert {tuple(r) for r in recovered_digests(pairs, "row").collect()} == {(1, 0, 7, 1), (1, 0, 8, 1), (1, 0, 9, -1)}
+    near = {r.row: (r.near, r.peeled) for r in likeness(pairs, "row").collect()}
+    assert near == {1: (0.25, True), 2: (1.0, True)}
