@@ -289,7 +289,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int, held_out: int,
     # A partition for each core: each has its own weights, so more of them learn less each and cost more to average.
     spark = docs.sparkSession
     workers = max(1, min(shuffle_width(spark), spark.sparkContext.defaultParallelism))
-    coded = cut_lineage(_coded(rows, model).repartition(workers, "doc_id").sortWithinPartitions(order, "doc_id", "ids"))
+    coded = cut_lineage(_coded(rows, model).repartition(workers, "doc_id").sortWithinPartitions(order, "doc_id", "ids")).coalesce(workers)
     weight = sum(total) / 2 / np.array(total)
     model.sums = {}
     for epoch in range(params.epochs):
