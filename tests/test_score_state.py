@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 import pytest
 from conftest import rows
 
@@ -90,3 +91,49 @@ def test_nothing_arrives(spark, tmp_path):
     spark.createDataFrame([], FILES).coalesce(1).write.parquet(str(tmp_path / "in"))
     live.start_live_scores(stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     assert not (tmp_path / "out" / "changes").exists() or spark.read.schema(live.CHANGES).parquet(str(tmp_path / "out" / "changes")).count() == 0
+
+
+class _Counted:
+    """State in a dictionary that counts the calls."""
+
+    def __init__(self):
+        self.values, self.calls = {}, 0
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def get(self):
+        self.calls += 1
+        return self.values.get("size")
+
+    def update(self, value):
+        self.calls += 1
+        self.values["size"] = value
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.values.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.values[key] = value
+
+
+def test_state_is_called_for_bundles_of_facts():
+    rng, state, stands, net = random.Random(5), _Counted(), {}, {}
+    columns = ["target_id", "path", "id", "deal", *live._RANK, "kind", "payload"]
+    for size in (1, 300, 5000, 40):  # bundles are doubled in the second and third batch
+        batch = []
+        for _ in range(size):
+            k, rank = rng.randrange(9000), rng.randrange(50)
+            batch.append((f"t{k % 3}", "a.js", str(k), hash((k, 1)) * 0x9E3779B97F4A7C15 % (1 << 64) - (1 << 63), rank, 0, 0, "", "", "finding", f"{k} {rank}"))
+            stands[k] = min(stands.get(k, 50), rank)
+        state.calls, keeper = 0, live._KeepBest()
+        keeper.init(state)
+        for changes in keeper.handleInputRows((0,), iter([pd.DataFrame(batch[:size // 2], columns=columns), pd.DataFrame(batch[size // 2:], columns=columns)]), None):
+            for payload, sign in zip(changes["payload"], changes["sign"]):
+                net[payload] = net.get(payload, 0) + sign
+        assert state.calls <= 2 * size + 4 and (size < 1000 or state.calls < size / 10)
+        assert {p for p, n in net.items() if n} == {f"{k} {rank}" for k, rank in stands.items()} and set(net.values()) <= {0, 1}
