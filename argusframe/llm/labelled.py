@@ -18,8 +18,11 @@ def _agreed(labels: DataFrame, label: str, folds: int, held_out: int) -> DataFra
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:
-    """(doc_id, text, lang, label) of every row with a label 0 or 1 outside the held-out fold; ids with conflicting labels are left out."""
-    return docs.select("doc_id", "text", "lang").join(_agreed(labels, label, folds, held_out), "doc_id")
+    """(doc_id, text, lang, label) of every row with a label 0 or 1 outside the held-out fold; ids with conflicting labels are left out.
+
+    Labels grow with the documents, so they are never broadcast; rows of the held-out fold and ids without a row are gone before the shuffle of the texts."""
+    rows = docs.select("doc_id", "text", "lang").filter(fold_of(F.col("doc_id").cast("long"), folds) != held_out)
+    return rows.join(_agreed(labels, label, folds, held_out).hint("merge"), "doc_id")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_label: int, max_bytes: int) -> list[tuple[str, str, int]]:

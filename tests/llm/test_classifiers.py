@@ -66,3 +66,13 @@ def test_thresholds():
     scores, truth = np.linspace(0, 1, 400), (np.linspace(0, 1, 400) > 0.7).astype(int)
     assert abs(best_threshold(scores, truth) - 0.7) < 0.051
     assert best_threshold(scores[:20], truth[:20]) == 0.5
+
+
+def test_labels_are_never_broadcast(labelled):
+    from argusframe.llm.labelled import labelled_rows
+    docs, labels, truth = labelled
+    rows = labelled_rows(docs, labels, "toxic", 5, 0)
+    plan = rows._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    fitted = {i for i in truth if zlib.crc32(str(i).encode()) % 5}
+    assert {r.doc_id for r in rows.collect()} == fitted
