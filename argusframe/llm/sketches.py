@@ -89,13 +89,14 @@ def fingerprints(sets: DataFrame, row: str, sides: tuple[str, ...]) -> DataFrame
 
 
 def _peel(cells: DataFrame, by: list[str]) -> DataFrame:
-    """``cells`` (by, w, cell, n, k, c) after all rounds. In a step a cell of one table that holds a single digest takes it out of all three and leaves it
-    as a cell of its own below -1. A digest is in one cell of a table, so none is taken out twice."""
+    """``cells`` (by, cell, n, k, c) after all rounds; the width is in the low half of ``number`` in ``by``. In a step a cell of one table that holds a
+    single digest takes it out of all three and leaves it as a cell of its own below -1. A digest is in one cell of a table, so none is taken out twice."""
+    w = "(number & 4294967295)"
     for step in range(ROUNDS * TABLES):
         table = step % TABLES
-        own = (F.col("cell") >= F.col("w") * table) & (F.col("cell") < F.col("w") * (table + 1))
-        single = own & (F.abs("n") == 1) & (F.xxhash64("k") == F.col("c")) & (F.expr(cells_of("k", "w"))[table] == F.col("cell"))
-        taken = F.expr(f"transform({cells_of('k', 'w')}, x -> named_struct('cell', x, 'n', -n, 'k', k, 'c', c))")
+        own = (F.col("cell") >= F.expr(w) * table) & (F.col("cell") < F.expr(w) * (table + 1))
+        single = own & (F.abs("n") == 1) & (F.xxhash64("k") == F.col("c")) & (F.expr(cells_of("k", w))[table] == F.col("cell"))
+        taken = F.expr(f"transform({cells_of('k', w)}, x -> named_struct('cell', x, 'n', -n, 'k', k, 'c', c))")
         found = F.array(F.expr("named_struct('cell', -2 - (c & 9223372036854775805), 'n', n, 'k', k, 'c', c)"))
         kept = F.array(F.struct("cell", "n", "k", "c"))
         moved = cells.select(*by, F.explode(F.when(single, F.concat(kept, taken, found)).otherwise(kept)).alias("x")).select(*by, "x.*")
@@ -103,11 +104,12 @@ def _peel(cells: DataFrame, by: list[str]) -> DataFrame:
     return cells
 
 
-_TRY = ["pair", "na", "nb", "guess", "begun", "try", "w"]
+def _peeled(pairs: DataFrame, row: str, digests: bool = False) -> DataFrame:
+    """(row, pair, try, na, nb, guess, begun, rest, found, digests) of every try of ``pairs`` (row, pair, a, b): cells that are left, and how many digests and which
+    were found; rows are dealt by ``row`` and stay where they are.
 
-
-def _peeled(pairs: DataFrame, row: str) -> DataFrame:
-    """Cells that are left, and digests that were found, of every try of ``pairs`` (row, pair, a, b); rows are dealt by ``row`` and stay where they are."""
+    While cells are peeled a try goes by one number, which says pair, try and width, and the rest of what is known of it waits in its mark: the aggregates of
+    all the rounds have few columns to group by."""
     # The sketches of both sides, each at its own width; those of b count backwards.
     sides = F.array(F.struct(F.col("a").alias("keys"), F.lit(1).alias("s")), F.struct(F.col("b").alias("keys"), F.lit(-1).alias("s")))
     each = pairs.select(row, "pair", F.size("a").alias("na"), F.size("b").alias("nb"), F.explode(sides).alias("x")).select(row, "pair", "na", "nb", "x.*")
@@ -125,21 +127,27 @@ def _peeled(pairs: DataFrame, row: str) -> DataFrame:
     guess = F.expr(f"CAST(round(-w * ln(greatest(0.5D, {TABLES} * w - used) / ({TABLES} * w))) AS INT)")
     tries = tries.withColumn("guess", F.least(F.col("na") + F.col("nb"), F.greatest(F.abs(F.col("na") - F.col("nb")), guess)))
     tries = tries.withColumn("begun", F.expr(f"used <= {1 - EMPTY_SHARE} * {TABLES} * w"))
-    mark = "array(named_struct('cell', -1L, 'n', 0, 'k', 0L, 'c', 0L))"
-    by = [row, *_TRY]
-    return _peel(tries.select(*by, F.explode(F.expr(f"IF(begun, concat({mark}, cells), {mark})")).alias("x")).select(*by, "x.*"), by)
+    mark = "array(named_struct('cell', -1L, 'n', 0, 'k', shiftleft(CAST(na AS BIGINT), 32) + nb, 'c', shiftleft(CAST(guess AS BIGINT), 1) + CAST(begun AS BIGINT)))"
+    number = F.expr("shiftleft(CAST(pair AS BIGINT) * 2 + try, 32) + w").alias("number")
+    by = [row, "number"]
+    cells = _peel(tries.select(row, number, F.explode(F.expr(f"IF(begun, concat({mark}, cells), {mark})")).alias("x")).select(*by, "x.*"), by)
+    own, taken = F.col("cell") == -1, F.col("cell") < -1
+    peeled = cells.groupBy(*by).agg(F.max(F.when(own, F.col("k"))).alias("sizes"), F.max(F.when(own, F.col("c"))).alias("told"), F.count_if(F.col("cell") >= 0).alias("rest"),
+                                    F.count_if(taken).cast("int").alias("found"), *([F.collect_list(F.when(taken, F.struct("k", "n"))).alias("digests")] if digests else []))
+    return peeled.select(row, F.expr("CAST(shiftright(number, 33) AS INT)").alias("pair"), F.expr("CAST(shiftright(number, 32) & 1 AS INT)").alias("try"), F.expr("CAST(shiftright(sizes, 32) AS INT)").alias("na"),
+                         F.expr("CAST(sizes & 4294967295 AS INT)").alias("nb"), F.expr("CAST(shiftright(told, 1) AS INT)").alias("guess"), F.expr("(told & 1) = 1").alias("begun"), "rest", "found",
+                         *(["digests"] if digests else []))
 
 
 def recovered_digests(pairs: DataFrame, row: str) -> DataFrame:
     """(row, pair, digest, sign) of ``pairs`` (row, pair, a, b): the digests in which a and b differ, 1 where a has it; no rows for pairs that no try could peel."""
-    tries = _peeled(pairs, row).groupBy(row, *_TRY).agg(F.count_if(F.col("cell") >= 0).alias("rest"), F.collect_list(F.when(F.col("cell") < -1, F.struct("k", "n"))).alias("digests"))
-    first = tries.filter("begun AND rest = 0").groupBy(row, "pair").agg(F.min_by("digests", "try").alias("digests"))
+    first = _peeled(pairs, row, digests=True).filter("begun AND rest = 0").groupBy(row, "pair").agg(F.min_by("digests", "try").alias("digests"))
     return first.select(row, "pair", F.explode("digests").alias("x")).select(row, "pair", F.col("x.k").alias("digest"), F.col("x.n").alias("sign"))
 
 
 def likeness(pairs: DataFrame, row: str) -> DataFrame:
     """(row, pair, near, peeled) of ``pairs`` (row, pair, a, b): common digests by all of them, 1 for two empty sets; ``peeled``: found by peeling, else estimated."""
-    tries = _peeled(pairs, row).groupBy(row, *_TRY).agg(F.count_if(F.col("cell") >= 0).alias("rest"), F.count_if(F.col("cell") < -1).cast("int").alias("found"))
+    tries = _peeled(pairs, row)
     found = F.min(F.when(F.col("begun") & (F.col("rest") == 0), F.struct("try", "found")))["found"]
     pair = tries.groupBy(row, "pair").agg((F.max("na") + F.max("nb")).alias("n"), found.alias("found"), F.max_by("guess", "try").alias("guess")).withColumn("d", F.coalesce("found", "guess"))
     near = F.when(F.col("n") == 0, 1.0).otherwise((F.col("n") - F.col("d")).cast("double") / (F.col("n") + F.col("d")))
