@@ -7,10 +7,11 @@ at depth ``WINDOW``; the tree is walked by sorting the suffixes of a group.
 
 1. *Shallow prefixes.* Of the ``ANCHOR``-word prefixes inside a window the one with
    the least fingerprint stands for it, which equal windows agree on. About one
-   word in seven is such an anchor. Anchors that occur once have a single leaf below
-   them, and the windows they stand for are dropped before anything else is moved.
-2. *Deep nodes.* The windows left over are grouped by two fingerprints of all their
-   words, 96 bits together; in each group all but the first (doc_id, start) are repeats.
+   word in seven is such an anchor. An anchor goes with a fingerprint of the stretch of
+   words that the windows it stands for cover. Of equal stretches all but the first (doc_id, start)
+   repeat as a whole. Anchors with a single kind of stretch need no more: their first one repeats nothing.
+2. *Deep nodes.* Windows of the first stretch of each kind, where an anchor has several kinds, are grouped by
+   two fingerprints of all their words, 96 bits together; in each group all but the first (doc_id, start) are repeats.
 3. *Cut.* Words covered by a repeat go. Windows are judged on the input.
 
 Both groupings are summed before the shuffle: of equal fingerprints in a batch
@@ -36,6 +37,9 @@ WINDOW = 20
 ANCHOR = 8
 #: Bits of the number of a word in its text, and what makes a second fingerprint of a word.
 WORD_BITS = 32
+#: The low bits of a stretch's fingerprint: words from its start to its anchor, and how many windows follow its first one. Both are below 13.
+SPAN_BITS = 4
+STRETCH_BITS = 2 * SPAN_BITS
 SECOND = np.uint64(0x5851F42D4C957F2D)
 BROADCAST_IDS = 100_000
 
@@ -56,34 +60,28 @@ def _anchors(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return starts, best[starts], owner[starts], prefix
 
 
-def _first_of_each(keys: np.ndarray, checks: np.ndarray, docs: np.ndarray, places: np.ndarray, later_only: bool) -> tuple[np.ndarray, np.ndarray]:
+def _first_of_each(keys: np.ndarray, checks: np.ndarray, docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys to send and whether the row is already known to repeat.
 
-    The first (doc, place) of equal keys and checks keeps its key. The others are known and get a random key. The first
-    is known too if that is enough (``later_only`` false), else only rows at a later place are."""
+    The first (doc, place) of equal keys and checks keeps its key. Rows at a later place are known and get a random key."""
     order = np.lexsort((places, docs, checks, keys))
     k, c = keys[order], checks[order]
     same = np.concatenate([[False], (k[1:] == k[:-1]) & (c[1:] == c[:-1])])
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(k))))
-    if later_only:
-        same &= (docs[order] != docs[order][head]) | (places[order] != places[order][head])
-    known = same.copy()
-    if not later_only:
-        known[:-1] |= same[1:]
+    same &= (docs[order] != docs[order][head]) | (places[order] != places[order][head])
     out_keys, out_known = keys.copy(), np.zeros(len(keys), bool)
-    out_known[order] = known
+    out_known[order] = same
     moved = order[same]
     out_keys[moved] = mix(mix(docs[moved].astype(np.uint64)) + places[moved].astype(np.uint64))
     return out_keys, out_known
 
 
-def _rows(keys: list, checks: list, docs: list, places: list, later_only: bool) -> Iterator[pa.RecordBatch]:
+def _rows(keys: list, checks: list, docs: list, places: list) -> Iterator[pa.RecordBatch]:
     """``place`` holds the version of the document, the number of the word and, in its last bit, whether the row is known to repeat."""
     k, c, d, p = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, checks, docs, places))
     if len(k):
-        k, known = _first_of_each(k, c, d, p, later_only)
-        columns = {"key": as_long(k), **({"check": pa.array(c.astype(np.int32))} if later_only else {}), "doc_id": pa.array(d), "place": pa.array(p.astype(np.int64) * 2 + known)}
-        yield pa.RecordBatch.from_pydict(columns)
+        k, known = _first_of_each(k, c, d, p)
+        yield pa.RecordBatch.from_pydict({"key": as_long(k), "check": pa.array(c), "doc_id": pa.array(d), "place": pa.array(p.astype(np.int64) * 2 + known)})
 
 
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -91,17 +89,29 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return tuple(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "version"))
 
 
+def _whole_windows(words: np.ndarray) -> np.ndarray:
+    """Fingerprint of the window at each word."""
+    return fold(windows(words, WINDOW // 2), WINDOW // 2, WINDOW)
+
+
 def _send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        (ids, versions), keys, docs, places = _ids(batch), [], [], []
+        (ids, versions), keys, checks, docs, places = _ids(batch), [], [], [], []
         for s in slices(batch.column("text")):
-            _, anchors, owner, prefix = _anchors(s)
-            new = np.concatenate([[True], anchors[1:] != anchors[:-1]]) if len(anchors) else np.zeros(0, bool)
+            starts, anchors, owner, prefix = _anchors(s)
+            if not len(anchors):
+                continue
+            new = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
+            first, last = starts[new], starts[np.concatenate([new[1:], [len(anchors)]]) - 1]
             anchors, owner = anchors[new], owner[new]
+            whole = _whole_windows(s.words)
+            # The first and the last window of a stretch hold all its words between them. The low bits say how the stretch lies around its anchor.
+            stretch = mix(mix(whole[first]) + whole[last]) & ~np.uint64((1 << STRETCH_BITS) - 1)
+            checks.append((stretch + (((anchors - first) << SPAN_BITS) + last - first).astype(np.uint64)).view(np.int64))
             keys.append(prefix[anchors])
             docs.append(ids[s.first + owner])
             places.append((versions[s.first + owner] << WORD_BITS) + anchors - s.word_bounds[owner])
-        yield from _rows(keys, [np.zeros(len(k), np.int64) for k in keys], docs, places, False)
+        yield from _rows(keys, checks, docs, places)
 
 
 def _send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,11 +126,11 @@ def _send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             open_ = hit[anchors]
             starts, owner = starts[open_], owner[open_]
             for found, words in ((keys, s.words), (checks, mix(s.words ^ SECOND))):
-                found.append(fold(windows(words, WINDOW // 2), WINDOW // 2, WINDOW)[starts])
-            checks[-1] = (checks[-1] >> np.uint64(32)).astype(np.int64) - (1 << 31)
+                found.append(_whole_windows(words)[starts])
+            checks[-1] = ((checks[-1] >> np.uint64(32)).astype(np.int64) - (1 << 31)).astype(np.int32)
             docs.append(ids[s.first + owner])
             places.append((versions[s.first + owner] << WORD_BITS) + starts - s.word_bounds[owner])
-        yield from _rows(keys, checks, docs, places, True)
+        yield from _rows(keys, checks, docs, places)
 
 
 def _with_versions(docs: DataFrame) -> DataFrame:
@@ -140,32 +150,40 @@ def _with_versions(docs: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents that hold a repeated anchor (doc_id, version, text), and (doc_id, version, cuts): the starts of windows that occur earlier."""
+    """Documents that hold a repeated anchor (doc_id, version, text, runs), and (doc_id, version, cuts) from single windows: ``runs`` and ``cuts`` are the windows
+    that occur earlier, each number the start of the first in a row and, in the last ``SPAN_BITS``, how many follow it."""
     texts = _with_versions(docs)
-    sent = "key bigint, {}doc_id bigint, place bigint"
+    sent = "key bigint, check {}, doc_id bigint, place bigint"
     place, known = F.expr(f"CAST(shiftright(place, 1) & {(1 << WORD_BITS) - 1} AS INT)"), F.col("place").bitwiseAND(1) == 1
-    document = ["doc_id", F.shiftright("place", WORD_BITS + 1).alias("version")]
-
-    anchors = texts.mapInArrow(_send_anchors, sent.format("")).withColumn("c", F.count("*").over(Window.partitionBy("key")))
-    hits = anchors.filter(known | (F.col("c") > 1)).groupBy(*document).agg(F.collect_set(place).alias("hits"))
+    document, order = ["doc_id", F.shiftright("place", WORD_BITS + 1).alias("version")], ["doc_id", F.shiftright("place", 1)]
+    span = (1 << SPAN_BITS) - 1
+
+    same = Window.partitionBy("key", "check").orderBy(*order)
+    around = Window.partitionBy("key").orderBy("check", *order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    kind = F.when(~known, F.col("check"))
+    anchors = texts.mapInArrow(_send_anchors, sent.format("bigint")).withColumn("at", F.rank().over(same)).withColumn("least", F.min(kind).over(around)).withColumn("most", F.max(kind).over(around))
+    again = known | (F.col("at") > 1)
+    run = F.expr(f"shiftleft((shiftright(place, 1) & {(1 << WORD_BITS) - 1}) - (shiftright(check, {SPAN_BITS}) & {span}), {SPAN_BITS}) + (check & {span})")
+    hits = anchors.filter(again | (F.col("least") != F.col("most"))).groupBy(*document).agg(
+        F.collect_set(F.when(~again, place)).alias("hits"), F.collect_set(F.when(again, run)).alias("runs"))
     held = store(texts.join(hits, ["doc_id", "version"]), "held")
 
-    leaves = held.mapInArrow(_send_windows, sent.format("check int, ")).withColumn(
-        "at", F.rank().over(Window.partitionBy("key", "check").orderBy("doc_id", F.shiftright("place", 1))))
-    cuts = leaves.filter(known | (F.col("at") > 1)).groupBy(*document).agg(F.collect_set(place).alias("cuts"))
-    return held.select("doc_id", "version", "text"), cuts
+    leaves = held.filter("size(hits) > 0").mapInArrow(_send_windows, sent.format("int")).withColumn("at", F.rank().over(same))
+    cuts = leaves.filter(known | (F.col("at") > 1)).groupBy(*document).agg(F.collect_set(F.shiftleft(place.cast("long"), SPAN_BITS)).alias("cuts"))
+    return held.select("doc_id", "version", "text", "runs"), cuts
 
 
 def _kept_words(texts: pa.Array, cuts: pa.Array | None) -> Iterator[tuple[int, int, bytes]]:
-    """Number of words, number of removed words and kept words joined by one space, for each text."""
+    """Number of words, number of removed words and kept words joined by one space, for each text; ``cuts`` as in ``repeated_windows``."""
     for s in slices(texts):
         gone = np.zeros(len(s.words) + 1, np.int64)
         if cuts is not None:
             mine = cuts.slice(s.first, s.n)
             lengths = pa.compute.fill_null(mine.value_lengths(), 0).to_numpy(zero_copy_only=False)
-            words = np.repeat(s.word_bounds[:-1], lengths) + mine.flatten().to_numpy(zero_copy_only=False)
+            runs = mine.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            words = np.repeat(s.word_bounds[:-1], lengths) + (runs >> SPAN_BITS)
             np.add.at(gone, words, 1)
-            np.add.at(gone, np.minimum(words + WINDOW, len(s.words)), -1)
+            np.add.at(gone, np.minimum(words + (runs & ((1 << SPAN_BITS) - 1)) + WINDOW, len(s.words)), -1)
         keep = np.cumsum(gone[:-1]) == 0
         raw = s.data.tobytes()
         for a, b in zip(s.word_bounds[:-1], s.word_bounds[1:]):
@@ -186,7 +204,8 @@ def cut_documents(held: DataFrame, cuts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2].decode() for x in found], pa.string())],
                                              names=["doc_id", "h", "n_removed", "kept_text"])
 
-    joined = held.join(cuts, ["doc_id", "version"]).withColumn("h", F.xxhash64("text"))
+    both = held.join(cuts, ["doc_id", "version"], "left").withColumn("cuts", F.concat("runs", F.coalesce("cuts", F.array().cast("array<bigint>"))))
+    joined = both.filter("size(cuts) > 0").withColumn("h", F.xxhash64("text"))
     return joined.mapInArrow(cut, "doc_id bigint, h bigint, n_removed bigint, kept_text string").dropDuplicates(["doc_id", "h"])
 
 

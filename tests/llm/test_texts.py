@@ -472,3 +472,15 @@ def test_printed_cells_and_peeling(spark):
         else:
             assert k not in found
     assert sum(r.peeled for r in near.values()) > 60
+
+
+def test_few_windows_are_sent_for_near_copies(spark):
+    from argusframe.llm.substring_dedup import repeated_windows, substring_dedup_digests
+    words = [f"word{k}" for k in range(400)]
+    edited = words[:150] + ["other"] + words[151:]
+    again = words[100:130] + ["x"] + words[:60] * 2
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate([words, edited, words, again])], "doc_id bigint, text string")
+    _, cuts = repeated_windows(docs)
+    assert sum(len(r.cuts) for r in cuts.collect()) < 100  # of about 850 windows that occur earlier
+    removed = {r.doc_id: r.n_removed for r in substring_dedup_digests(docs).collect()}
+    assert removed == {0: 0, 1: 399, 2: 400, 3: 150}
