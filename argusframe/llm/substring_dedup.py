@@ -161,7 +161,9 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     same = Window.partitionBy("key", "check").orderBy(*order)
     around = Window.partitionBy("key").orderBy("check", *order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     kind = F.when(~known, F.col("check"))
-    anchors = texts.mapInArrow(_send_anchors, sent.format("bigint")).withColumn("at", F.rank().over(same)).withColumn("least", F.min(kind).over(around)).withColumn("most", F.max(kind).over(around))
+    # Rows are dealt by key first; the ranks within a kind of stretch then need no shuffle of their own.
+    anchors = texts.mapInArrow(_send_anchors, sent.format("bigint")).withColumn("least", F.min(kind).over(around)).withColumn("most", F.max(kind).over(around))
+    anchors = anchors.withColumn("at", F.rank().over(same))
     again = known | (F.col("at") > 1)
     run = F.expr(f"shiftleft((shiftright(place, 1) & {(1 << WORD_BITS) - 1}) - (shiftright(check, {SPAN_BITS}) & {span}), {SPAN_BITS}) + (check & {span})")
     hits = anchors.filter(again | (F.col("least") != F.col("most"))).groupBy(*document).agg(
