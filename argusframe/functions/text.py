@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, functions as F
 
 from argusframe.functions.regex import SPACE
 
-_EDGE_SPACE = f"^[{SPACE}]+|[{SPACE}]+\\z"
+# The characters of the class, one by one.
+_SPACES = "".join(c for c in map(chr, range(0x10000)) if re.match(f"[{SPACE.replace('x0B', 'v')}]", c))
 _LEAD_SPACE = f"^[{SPACE}]+"
 
 
 def trim_space(text: Column) -> Column:
-    """Trim every kind of white space; Spark's ``trim`` takes blanks only."""
-    return F.regexp_replace(text, _EDGE_SPACE, "")
+    """Trim every kind of white space; left to itself, Spark's ``trim`` takes blanks only."""
+    return F.trim(text, F.lit(_SPACES))
 
 
 def trim_start(text: Column) -> Column:

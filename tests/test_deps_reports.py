@@ -126,3 +126,20 @@ def test_reports_are_parsed_once(spark, make_files):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "parse_json" not in plan.replace("from_json", "") and "StructField(VulnerabilityID" not in plan and "StructField(vulnerabilities" not in plan
     assert {r.target_id for r in found.collect()} == {"trivy0", "trivy4", "npm-audit0", "semgrep0"}
+
+
+def test_manifests_are_taken_apart_once(make_files):
+    """Findings and errors of all root files come from one parse and one reading of the files."""
+    f = make_files([
+        ("a", "package.json", '{"dependencies":{"x":"*","n":5,"x":"1"},"devDependencies":{"n":"latest","o":{}}}'), ("a", "package.json", '{"dependencies":{"y":"git://h"}}'),
+        ("b", "package.json", "{}"), ("b", "yarn.lock", ""), ("c", "package.json", "["), ("c", "requirements.txt", " a b \n#x<1\n ﻿=2\nq!1"), ("d", "yarn.lock", "")])
+    assert rows(scan_manifests(f), "target_id", "rule_id", "title", "line", "seq", "rule_ord", "severity", "file") == sorted([
+        ("a", "git-dependency", "Dependency from git: y", None, 1, 1, "medium", "package.json"), ("a", "missing-lockfile", "No lock file", None, 0, 2, "medium", "package.json"),
+        ("a", "unpinned-npm", "Loose dependency: n", None, 2, 1, "medium", "package.json"),
+        ("c", "unpinned-python", "Loose Python dependency: a b", 1, 1, 3, "low", "requirements.txt"),
+        ("c", "unpinned-python", "Loose Python dependency: q", 4, 4, 3, "low", "requirements.txt")], key=repr)
+    assert rows(manifest_errors(f), "target_id", "error") == [
+        ("a", "package.json: version of o is no text"), ("c", "package.json: unreadable")]
+    for found in (scan_manifests(f), manifest_errors(f)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1 and "Union" not in plan
