@@ -36,13 +36,15 @@ def number_rows(df: DataFrame, group: str, order: Sequence[Column | str], number
     """
     spark = df.sparkSession
     ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    # Columns of the rows are sorted by as they are; only what is computed is written beside them.
+    computed = {f"_order{i}": c for i, c in enumerate(order) if not isinstance(c, str)}
+    keys = [group, *[c if isinstance(c, str) else f"_order{i}" for i, c in enumerate(order)], "_tie"]
     # Ties are broken by an id that is written down before rows move by it.
-    keyed = cut_lineage(df.select("*", F.struct(*order).alias("_order"), F.monotonically_increasing_id().alias("_tie")))
+    keyed = cut_lineage(df.select("*", *[c.alias(n) for n, c in computed.items()], F.monotonically_increasing_id().alias("_tie")))
     placed = (
-        keyed.repartitionByRange(ranges, group, "_order", "_tie")
-        .sortWithinPartitions(group, "_order", "_tie")
-        .drop("_order", "_tie")
+        keyed.repartitionByRange(ranges, *keys)
+        .sortWithinPartitions(*keys)
+        .drop(*computed, "_tie")
         .withColumn("_id", F.monotonically_increasing_id())
     )
     # The id holds the partition above bit 33 and the place in it below.

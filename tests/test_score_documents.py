@@ -119,3 +119,14 @@ def test_full_engine(spark, make_files, make_responses):
 
 def test_emission_order_is_total():
     assert {"file", "rule_ord", "seq", "line"} <= set(EMISSION_ORDER)
+
+
+def test_rows_are_written_down_once_each(spark, monkeypatch):
+    """Columns that rows are numbered by aren't copied beside them."""
+    from argusframe.operators import skew
+    written, cut = [], skew.cut_lineage
+    monkeypatch.setattr(skew, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    df = spark.createDataFrame([("a", 3, "x"), ("a", None, "y"), ("b", 1, "z"), ("a", 1, "w"), ("a", 3, "u")], "g string, v int, t string")
+    assert sorted((r.g, r.n, r.t) for r in number_rows(df, "g", ["v", F.col("t")], ranges=3).collect()) == [
+        ("a", 1, "y"), ("a", 2, "w"), ("a", 3, "u"), ("a", 4, "x"), ("b", 1, "z")]
+    assert written[0] == ["g", "v", "t", "_order1", "_tie"]
