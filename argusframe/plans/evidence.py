@@ -20,7 +20,7 @@ from argusframe.operators.files import MAX_SCAN_BYTES, is_counted_path, is_scann
 from argusframe.operators.rules import Rule
 from argusframe.operators.sast import hit_line, rule_cases, scanned_extensions, with_scan_texts
 from argusframe.operators.secrets import SECRET_RULES, SecretRule, secret_items
-from argusframe.session import ensure_checkpoint_dir
+from argusframe.session import ensure_checkpoint_dir, remove_folder  # noqa: F401
 
 ROOT_FILES = (PACKAGE_MANIFEST, REQUIREMENTS, *LOCK_FILES, ".env", ".gitignore")
 BROKEN = "archive is broken"
@@ -81,9 +81,3 @@ def write_evidence(evidence: DataFrame, path: str) -> None:
 def read_evidence(spark: SparkSession, path: str) -> DataFrame:
     """Evidence of one write, or of all batches below a folder."""
     return spark.read.schema(EVIDENCE).option("recursiveFileLookup", False).parquet(path)
-
-
-def remove_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder this library wrote, on whatever file system it is."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
