@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from argusframe.functions.severity import SEVERITIES, severity_rank
 from argusframe.operators.deps import LOCK_FILES, PACKAGE_MANIFEST, REQUIREMENTS, scan_manifests
 from argusframe.schema import FINDING_COLUMNS, as_findings
-from argusframe.session import cut_lineage
+from argusframe.session import write_down
 from argusframe.sources.reports import parse_reports, read_npm_audit_report, read_trivy_report
 
 # Result order of findings inside a target; files by path.
@@ -61,10 +61,10 @@ def source_cascade(files: DataFrame, reports: DataFrame) -> DataFrame:
     """Dependency findings of each target's best source only; a source that
     succeeded with nothing found still silences the later ones. Reports and
     manifests are chosen before they are taken apart into findings, while they
-    are a few rows per target. Reports are parsed once and written down parsed, and so is the choice, since every branch
+    are a few rows per target. Reports are parsed once and written down parsed, in columns, and so is the choice, since every branch
     asks for both."""
-    parsed = cut_lineage(parse_reports(reports.filter(F.col("source").isin(*SOURCE_RANK))))
-    best = cut_lineage(best_sources(files, parsed))
+    parsed = write_down(parse_reports(reports.filter(F.col("source").isin(*SOURCE_RANK))))
+    best = write_down(best_sources(files, parsed))
     chosen = parsed.join(best, "target_id").filter(
         ((F.col("source") == "trivy") & (F.col("best") == SOURCE_RANK["trivy"]))
         | ((F.col("source") == "npm-audit") & (F.col("best") == SOURCE_RANK["npm-audit"])))

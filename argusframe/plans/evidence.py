@@ -20,7 +20,7 @@ from argusframe.operators.files import MAX_SCAN_BYTES, is_counted_path, is_scann
 from argusframe.operators.rules import Rule
 from argusframe.operators.sast import hit_line, rule_cases, scanned_extensions, with_scan_texts
 from argusframe.operators.secrets import SECRET_RULES, SecretRule, secret_items
-from argusframe.session import ensure_checkpoint_dir, remove_folder  # noqa: F401
+from argusframe.session import ensure_checkpoint_dir, remove_folder, shuffles_dropped  # noqa: F401
 
 ROOT_FILES = (PACKAGE_MANIFEST, REQUIREMENTS, *LOCK_FILES, ".env", ".gitignore")
 BROKEN = "archive is broken"
@@ -75,7 +75,8 @@ def new_evidence_path(spark: SparkSession) -> str:
 
 
 def write_evidence(evidence: DataFrame, path: str) -> None:
-    evidence.write.mode("overwrite").partitionBy("kind").parquet(path)
+    with shuffles_dropped(evidence.sparkSession):
+        evidence.write.mode("overwrite").option("compression", "zstd").partitionBy("kind").parquet(path)
 
 
 def read_evidence(spark: SparkSession, path: str) -> DataFrame:
